@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import SQL_LATEST_FINDINGS
-from tidescan.llm import leakage, topn
+from tidescan.llm import generated, leakage, topn
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.unwritten_files(spark, sf_dir).select("file_path")
+
+
+def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated.unwritten_files(spark, sf_dir).groupBy("kind", "by").agg(F.count(F.lit(1)).alias("files"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +40,7 @@ SELECT run_id, id FROM (
 WHERE rn <= 10
 """
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 ORACLES = {"p2_found": P2_SQL}
 
 
