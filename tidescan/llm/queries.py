@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import SQL_LATEST_FINDINGS
-from tidescan.llm import generated, leakage, topn
+from tidescan.llm import generated, leakage, quality, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,14 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.remove_spans(docs, leakage.document_leaks(spark, sf_dir)).filter(F.col("removed_chars") > 0)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_shapes(spark, sf_dir)
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_statistics(spark, sf_dir)
+
+
 P2_SQL = f"""
 WITH f AS (
   SELECT lower(trim(run_id)) AS run_id, lower(trim(id)) AS id, round(cvss_score, 1) AS score,
@@ -40,8 +48,24 @@ SELECT run_id, id FROM (
 WHERE rn <= 10
 """
 
-QUERIES = {"p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
-ORACLES = {"p2_found": P2_SQL}
+_COMMON = ", ".join(f"'{w}'" for w in quality.COMMON_WORDS)
+P9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^a-z0-9'']+'), w -> w <> '') AS w,
+         list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), s -> trim(s) <> '') AS s
+  FROM documents)
+SELECT doc_id, len(w)::BIGINT AS words,
+       round(list_sum(list_transform(w, x -> length(x)))::DOUBLE / len(w), 4) AS mean_word_length,
+       round(length(regexp_replace(text, '[A-Za-z0-9\\s]', '', 'g'))::DOUBLE / length(text), 4) AS symbol_ratio,
+       round(len(list_filter(s, x -> regexp_matches(x, '[.!?]\\s*$')))::DOUBLE / len(s), 4) AS ended_lines,
+       round(len(list_filter(w, x -> x IN ({_COMMON})))::DOUBLE / len(w), 4) AS common_words
+FROM d WHERE len(w) > 0
+"""
+
+QUERIES = {
+    "p9_found": p9_found, "p9_statistics": p9_statistics,
+    "p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
+ORACLES = {"p2_found": P2_SQL, "p9_statistics": P9_SQL}
 
 
 def collect() -> tuple[dict, dict]:
