@@ -69,7 +69,8 @@ def line_features(line: str, before: str) -> list[int]:
     # Single letters are no evidence: typed noise is full of them.
     clause = sum(w in CLAUSE_WORDS for w in words if len(w) > 1) / n if n else 0.0
     term = sum(w in TERM_WORDS for w in words if len(w) > 1) / n if n else 0.0
-    unsayable = sum(bool(UNSAYABLE.search(w)) for w in words) / n if n >= 4 else 0.0
+    strange = sum(bool(UNSAYABLE.search(w)) for w in words)
+    unsayable = strange / n if strange > 1 else 0.0
     if BULLET.match(line):
         start = 1
     elif NUMBER.match(line):

@@ -51,14 +51,14 @@ WHERE rn <= 10
 _COMMON = ", ".join(f"'{w}'" for w in quality.COMMON_WORDS)
 P9_SQL = f"""
 WITH d AS (
-  SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^a-z0-9'']+'), w -> w <> '') AS w,
-         list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), s -> trim(s) <> '') AS s
+  SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^a-z0-9'']+'), lambda w: w <> '') AS w,
+         list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda s: trim(s) <> '') AS s
   FROM documents)
 SELECT doc_id, len(w)::BIGINT AS words,
-       round(list_sum(list_transform(w, x -> length(x)))::DOUBLE / len(w), 4) AS mean_word_length,
+       round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w), 4) AS mean_word_length,
        round(length(regexp_replace(text, '[A-Za-z0-9\\s]', '', 'g'))::DOUBLE / length(text), 4) AS symbol_ratio,
-       round(len(list_filter(s, x -> regexp_matches(x, '[.!?]\\s*$')))::DOUBLE / len(s), 4) AS ended_lines,
-       round(len(list_filter(w, x -> x IN ({_COMMON})))::DOUBLE / len(w), 4) AS common_words
+       round(len(list_filter(s, lambda x: regexp_matches(x, '[.!?]\\s*$')))::DOUBLE / len(s), 4) AS ended_lines,
+       round(len(list_filter(w, lambda x: x IN ({_COMMON})))::DOUBLE / len(w), 4) AS common_words
 FROM d WHERE len(w) > 0
 """
 
