@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import SQL_LATEST_FINDINGS
-from tidescan.llm import generated, leakage, quality, topn
+from tidescan.llm import credentials, generated, leakage, quality, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.worst_findings(spark, sf_dir).select("run_id", "id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(spark, sf_dir).select("id", "snippet_line")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_credentials(spark, sf_dir)
+    clean = credentials.redact(F.col("line"), F.col("starts"), F.col("ends"))
+    return found.select("id", "snippet_line", clean.alias("redacted"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.document_leaks(spark, sf_dir).select("doc_id", "item_id")
 
@@ -63,6 +73,7 @@ FROM d WHERE len(w) > 0
 """
 
 QUERIES = {
+    "p5_found": p5_found, "p5_redacted": p5_redacted,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
     "p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 ORACLES = {"p2_found": P2_SQL, "p9_statistics": P9_SQL}
