@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import SQL_LATEST_FINDINGS
-from tidescan.llm import credentials, generated, leakage, quality, topn
+from tidescan.llm import credentials, generated, history, leakage, quality, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "snippet_line", clean.alias("redacted"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.repeated_items(spark, sf_dir)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.document_leaks(spark, sf_dir).select("doc_id", "item_id")
 
@@ -74,6 +78,7 @@ FROM d WHERE len(w) > 0
 
 QUERIES = {
     "p5_found": p5_found, "p5_redacted": p5_redacted,
+    "p6_found": p6_found,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
     "p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 ORACLES = {"p2_found": P2_SQL, "p9_statistics": P9_SQL}
