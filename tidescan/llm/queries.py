@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import SQL_LATEST_FINDINGS
-from tidescan.llm import credentials, generated, history, leakage, quality, topn
+from tidescan.llm import credentials, generated, history, leakage, mixture, quality, topn
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,14 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.remove_spans(docs, leakage.document_leaks(spark, sf_dir)).filter(F.col("removed_chars") > 0)
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.document_mixture(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(*mixture.document_mixture(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_shapes(spark, sf_dir)
 
@@ -79,6 +87,7 @@ FROM d WHERE len(w) > 0
 QUERIES = {
     "p5_found": p5_found, "p5_redacted": p5_redacted,
     "p6_found": p6_found,
+    "p8_mixture": p8_mixture, "p8_shares": p8_shares,
     "p9_found": p9_found, "p9_statistics": p9_statistics,
     "p1_found": p1_found, "p1_kinds": p1_kinds, "p2_found": p2_found, "p7_found": p7_found, "p7_cleaned": p7_cleaned}
 ORACLES = {"p2_found": P2_SQL, "p9_statistics": P9_SQL}
