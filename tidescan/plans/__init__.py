@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "code"]
+MODULES = ["tables", "code", "deps"]
 
 
 def collect() -> tuple[dict, dict]:

@@ -114,7 +114,7 @@ _RULES = builtin_rows()
 _SETS = sorted({r[0] for r in _RULES})
 _RULE_VALUES = sql.values([(r[0], r[2], r[3], r[4], r[5], r[6], r[7]) for r in _RULES], ["language", "rule_id", "regex", "vuln_type", "confidence", "description", "severity"], "rules")
 _HITS = (
-    f"WITH {sql.FILE_LINES}, {_RULE_VALUES}, hits AS (SELECT l.path, l.line_no, l.line, r.rule_id, r.vuln_type, r.confidence, r.severity, r.description, "
+    f"WITH {sql.FILE_LINES}, {_RULE_VALUES}, hits AS MATERIALIZED (SELECT l.path, l.line_no, l.line, r.rule_id, r.vuln_type, r.confidence, r.severity, r.description, "
     f"regexp_extract(l.line, '(?i)' || r.regex, 0) AS match FROM lines l JOIN rules r ON r.language = {sql.rule_set('l.language', _SETS)} "
     f"AND regexp_matches(l.line, '(?i)' || r.regex)) "
 )
@@ -185,13 +185,6 @@ ORACLES = {
     "excerpt_rule_counts": f"""WITH {_EXCERPTS}, {_RULE_VALUES}, l AS (SELECT *, {sql.language_of('file_path')} AS language FROM excerpts)
         SELECT l.language, r.rule_id, r.vuln_type, count(*) AS n FROM l JOIN rules r ON r.language = {sql.rule_set('l.language', _SETS)}
         AND regexp_matches(l.line, '(?i)' || r.regex) GROUP BY ALL""",
-    "candidate_findings": _HITS
-    + """, whole AS (SELECT path, list(line ORDER BY line_no) AS ls FROM lines GROUP BY path)
-        SELECT h.path AS file_path, h.line_no AS line_start, h.rule_id AS pattern_id, h.description AS title,
-          array_to_string(list_transform(generate_series(greatest(1, h.line_no - 3), least(len(w.ls), h.line_no + 3)),
-            lambda n: CASE WHEN n = h.line_no THEN '>>> ' ELSE '    ' END || lpad(n::VARCHAR, 4, ' ') || ' | ' || w.ls[n]), chr(10)) AS code_snippet,
-          'candidate' AS status
-        FROM hits h JOIN whole w ON h.path = w.path""",
     "named_secret_hits": f"""WITH {_EXCERPTS}, {_CODE}, {_DETECT}, h AS (SELECT file_path, secret_type, severity, regexp_extract(line, regex, 0) AS raw FROM code JOIN detectors ON regexp_matches(line, regex))
         SELECT file_path, secret_type, severity, {_mask('raw')} AS evidence, round({_entropy('raw')}, 4) AS entropy, count(*) AS n FROM h
         WHERE NOT regexp_matches(raw, {sql.text(PLACEHOLDER)}) GROUP BY ALL""",
