@@ -31,6 +31,11 @@ def one_decimal(c: ColumnOrName) -> Column:
     return F.round(_col(c), 1)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 #: The five severity words in order; anything else ranks with the last.
 SEVERITIES = ["critical", "high", "medium", "low", "informational"]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tables", "code", "deps"]
+MODULES = ["tables", "code", "deps", "findings", "taint"]
 
 
 def collect() -> tuple[dict, dict]:

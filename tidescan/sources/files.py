@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def _listing(spark: SparkSession, root: str) -> DataFrame:
     """path below the root, size and content of every file; content is only read where it is used."""
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    cut = F.regexp_extract("path", F.lit("^(?:[a-z]+:/*)?/?" + base.lstrip("/").replace(".", r"\.") + "/(.*)$"), 1)
+    cut = F.regexp_extract("path", "^(?:[a-z0-9]+:/*)?/?" + re.escape(base.split(":", 1)[-1].strip("/")) + "/(.*)$", 1)
     return found.select(cut.alias("path"), F.col("length").alias("size"), "content")
 
 
