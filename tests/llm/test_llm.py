@@ -1,0 +1,221 @@
+import random
+from itertools import pairwise
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidescan.llm import credentials as C
+from tidescan.llm import generated as G
+from tidescan.llm import history as H
+from tidescan.llm import leakage as L
+from tidescan.llm import mixture as M
+from tidescan.llm import quality as Q
+from tidescan.llm import topn as T
+
+
+# ---- top n ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [3, 50, 100_000])
+def test_topn_matches_sorting(spark, block):
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), rng.randint(0, 6), f"i{k}") for k in range(400)]
+    got = T.top_n(spark.createDataFrame(rows, "g string, s int, id string"), "g", "s", "id", 7, block_rows=block)
+    want = {r for g in {r[0] for r in rows} for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:7]}
+    assert {(r.g, r.s, r.id) for r in got.collect()} == want
+
+
+def test_topn_empty(spark):
+    assert T.top_n(spark.createDataFrame([], "g string, s int, id string"), "g", "s", "id", 3).count() == 0
+
+
+# ---- generated files -------------------------------------------------------------------------------------------------
+
+
+def classify(spark, files, rows):
+    f = spark.createDataFrame(files, "path string, content string")
+    r = spark.createDataFrame(rows, "file_path string, code_snippet string, line_start int")
+    return {x.file_path: (x.kind, x.by) for x in G.classify(f, r).collect()}
+
+
+def test_kinds_of_files(spark):
+    long = "a=b(c);" * 60
+    files = [
+        ("r/.gitattributes", "*.x.py linguist-generated\nsrc/keep.pb.go -linguist-generated\nlib/** linguist-vendored=true\n"), ("r/sub/.gitattributes", "mine.x.py linguist-generated=false\n"),
+        ("r/a.x.py", "x = 1"), ("r/sub/mine.x.py", "x"), ("r/src/keep.pb.go", "x"), ("r/lib/d/z.c", "x"), ("q/min.js", long), ("q/data.c", "\n".join(["1, 2, 3, 4, 5, 6,"] * 5)),
+        ("q/ban.py", "# Code generated by tool from a.proto. DO NOT EDIT.\nx = 1"), ("q/talk.py", '# writes the "DO NOT EDIT" banner into each output file\nx = 1'), ("q/hand.py", "x = 1"), ("q/none.py", None),
+    ]
+    rows = [(p, "y = 2", 40) for p, _ in files if "git" not in p] + [("q/vendor/u/a.go", "z", None), ("q/vendor_portal/a.go", "z", 1), ("q/snip.js", long, 3), (None, "x", 1), ("q/x_pb2.py", None, None)]
+    got = classify(spark, files, rows)
+    assert got == {
+        "r/a.x.py": ("generated", "declared"), "r/lib/d/z.c": ("vendored", "declared"), "q/min.js": ("minified", "content"), "q/data.c": ("data", "content"), "q/ban.py": ("generated", "content"),
+        "q/vendor/u/a.go": ("vendored", "path"), "q/snip.js": ("minified", "content"), "q/x_pb2.py": ("generated", "path"),
+    }
+
+
+def test_mined_patterns(spark):
+    rows = [(f"r{k % 6}/a{k}_auto.py", "generated" if k % 2 else None) for k in range(30)] + [(f"r{k % 6}/b{k}_hand.py", None) for k in range(300)]
+    assert {r.shape for r in G.mined_patterns(spark.createDataFrame(rows, "file_path string, content_kind string")).collect()} == {"_auto.py"}
+
+
+# ---- credentials --------------------------------------------------------------------------------------------------
+
+
+def secret(n, seed=0):
+    rng = random.Random(seed)
+    return "a1B" + "".join(rng.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(n - 3))
+
+
+def sample_lines(n, seed=5):
+    rng = random.Random(seed)
+    names, safe = ["password", "api_key", "token", "client_secret"], ["commit", "checksum", "label", "url"]
+    out = []
+    for k in range(n):
+        s = secret(rng.randint(12, 40), k)
+        out.append(
+            rng.choice([
+                (f'{rng.choice(names)} = "{s}"', True), (f"# curl -u svc:{s} https://h.invalid/x", True), (f'dsn: "mysql://u:{s}@h.invalid/db",', True), (f'{rng.choice(names)} = os.environ["X{k}"]', False),
+                (f'{rng.choice(safe)} = "{k:040x}"', False), (f'{rng.choice(names)} = "changeme{k}"', False), (f'return fmt.Errorf("item {k} of %d", n{k})', False),
+            ])
+        )
+    return out
+
+
+def test_field_on_held_out_lines():
+    field = C.Field.train([s for s, _ in sample_lines(500)], epochs=6)
+    held = sample_lines(300, seed=9)
+    wrong = [(s, y) for s, y in held if bool(field.spans(s)) != y]
+    assert len(wrong) <= 6, wrong[:5]
+    text = f'x = 1; password = "{secret(20)}"; y = 2'
+    (span,) = field.spans(text)
+    assert text[slice(*span)] == secret(20)
+    assert field.spans("") == [] and field.spans("x" * 50_000) == []
+
+
+def test_viterbi_is_the_best_path():
+    field = C.Field.train([s for s, _ in sample_lines(60)], epochs=2)
+    line = C.Line(f'token = "{secret(16, 1)}" + "{secret(16, 2)}"')
+    e = field.emissions(field.rows(line))
+    score = lambda p: sum(e[k, y] for k, y in enumerate(p)) + sum(field.step[a, b] for a, b in pairwise(p))
+    best = max(np.ndindex(*[3] * len(e)), key=score)
+    assert list(best) == field.viterbi(line)
+
+
+def test_redaction_keeps_the_rest(spark):
+    df = spark.createDataFrame([("ab 'cdef' + 'gh'", [4, 13], [8, 15])], "line string, starts array<int>, ends array<int>")
+    assert df.select(C.redact(F.col("line"), F.col("starts"), F.col("ends"))).first()[0] == "ab '****' + '**'"
+
+
+# ---- batches against history ------------------------------------------------------------------------------------------
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_segments_find_all_within_the_bound():
+    rng = random.Random(2)
+    for edits in (1, 2, 3):
+        for _ in range(300):
+            a = [rng.randint(1, 6) for _ in range(rng.randint(edits + 1, 14))]
+            b = list(a)
+            for _ in range(rng.randint(0, edits)):
+                k = rng.randrange(len(b) + 1)
+                rng.choice([lambda: b.insert(k, 9), lambda: b and b.pop(min(k, len(b) - 1)), lambda: b and b.__setitem__(min(k, len(b) - 1), 8)])()
+            if len(b) > edits:
+                assert edit(a, b) <= edits and H.stored_segments("p", a, edits) & H.probed_substrings("p", b, edits)
+                assert H.within([str(x) for x in a], [str(x) for x in b], edits)
+
+
+SNIP = "      1 | foo(bar);\n>>>   2 | db.query(\"x\" + bar);\n      3 | return bar;\n      4 | done(7);"
+
+
+def test_repeats(spark):
+    items = [
+        (1, "a.js", "sqli", "foo(baz);\n db.query('x' + baz);\nreturn  baz;\ndone(8); // note"), (2, "b.js", "sqli", SNIP), (3, "a.js", "xss", SNIP), (4, "a.js", "sqli", "foo(bar);\nother.call(bar, 1, 2, 3);\nreturn bar;\ndone(7);"),
+        (5, "b.js", "sqli", SNIP.replace("foo(bar);", "start(9, 9, 9);")), (6, None, "sqli", SNIP), (7, "a.js", "sqli", None), (8, "c.js", "x", ""), (9, "c.js", "x", "z" * 30_000), (10, "c.js", "x", "z" * 30_000),
+    ]
+    found = H.repeats(spark.createDataFrame(items, "item_id bigint, file_path string, vuln_type string, code_snippet string"), spark.createDataFrame([("a.js", "sqli", SNIP), (None, None, None)], "file_path string, vuln_type string, code_snippet string"))
+    assert sorted(r.item_id for r in found.collect()) == [1, 5, 10]
+
+
+# ---- leakage --------------------------------------------------------------------------------------------------
+
+
+def test_leaks(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    passage = rng.sample(words, 60)
+    other = rng.sample(words, 60)
+    text = lambda ws: " ".join(ws)
+    items = [(1, "Do it now. " + text(passage), "Do it now."), (2, text(other), None), (3, None, None), (4, "short", None)]
+    swapped = [w if k % 9 else "zz" for k, w in enumerate(passage)]
+    docs = [
+        (1, "pre **" + text(passage).upper() + "** post"), (2, text(passage[35:]) + " filler " + text(passage[:35])), (3, text(swapped)), (4, "Do it now. " + text(passage[:12])), (5, None), (6, ""), (7, text(rng.sample(words, 300))),
+        (8, "<p>" + "</b>\n<b>".join(other) + "</p>"), (9, text(passage[:20] + ["x"] * 500 + passage[20:40])),
+    ]
+    found = L.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string, instruction string"), items_per_set=2)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 2), (9, 1)}
+    clean = {r.doc_id: r for r in L.remove_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), found).collect()}
+    assert clean[1].text == "pre **** post" and clean[4].removed_chars == 0 and clean[5].text is None
+
+
+# ---- mixture --------------------------------------------------------------------------------------------------
+
+
+def test_fill_passes_shortage_to_siblings_first():
+    leaves = [{"domain": "a", "lang": "x", "source": 1, "weight": 0.4, "capacity": 10.0}, {"domain": "a", "lang": "x", "source": 2, "weight": 0.2, "capacity": 500.0}, {"domain": "b", "lang": "x", "source": 3, "weight": 0.4, "capacity": 500.0}]
+    assert M.budgets(leaves, 100, ("domain", "lang")) == pytest.approx([10, 50, 40])
+    assert M.budgets(leaves, 2000, ("domain", "lang")) == pytest.approx([10, 500, 500])
+
+
+def test_mix_keeps_caps_and_budgets(spark):
+    rng = random.Random(6)
+    docs = [(k, rng.choice(["big"] * 8 + ["small", "free"]), rng.choice(["en", "EN ", None]), rng.choice([0, 5, 20, 90])) for k in range(600)]
+    d = spark.createDataFrame(docs, "doc_id bigint, source string, lang string, tokens bigint")
+    w = spark.createDataFrame([("big", 1.0, 2), ("small", 3.0, 3), ("none", 1.0, 4), ("nil", None, None)], "source string, weight double, max_repeats int")
+    chosen, plan = M.mix(d, w, budget=9000)
+    rows, report = chosen.collect(), {r.source: r for r in M.report(chosen, plan).collect()}
+    assert {r.source for r in rows} == {"big", "small"} and all(r.uses <= {"big": 2, "small": 3}[r.source] for r in rows)
+    assert 0 <= 9000 - sum(r.tokens * r.uses for r in rows) <= 4 * 90
+    assert report["none"].taken == 0 and sum(r.reached_share for r in report.values()) == pytest.approx(1, abs=1e-4)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, M.mix(d, w, budget=9000)[0].collect()))
+
+
+def test_token_counts_match_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["hello world", "", None, "  ", "x" * 20_000, "<|endoftext|> é"]
+    t = Tokenizer.from_file(M.tokenizer_path())
+    t.encode_special_tokens = True
+    got = M.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.tokens for r in got] == [len(t.encode(x, add_special_tokens=False).ids) if x and x.strip() else 0 for x in texts]
+
+
+# ---- quality -------------------------------------------------------------------------------------------------------------
+
+
+def test_viterbi_of_lines_is_the_best_path():
+    rng = np.random.default_rng(0)
+    model = Q.Model(rng.random(4), rng.random((4, 4)), rng.random((4, Q.WIDTH)) * 20)
+    feats = np.array([[rng.integers(n) for n in Q.SIZES] for _ in range(5)])
+    e = model.emit[:, feats + Q.OFFSETS].sum(2).T
+    score = lambda p: model.start[p[0]] + sum(e[k, y] for k, y in enumerate(p)) + sum(model.step[a, b] for a, b in pairwise(p))
+    assert list(max(np.ndindex(*[4] * 5), key=score)) == list(model.viterbi(feats))
+
+
+def test_shapes(spark):
+    prose = "The storage team found that this value was not checked before it reached the query. They would rather have a fix now than wait until the next release."
+    wrapped = "\n".join(prose.split())
+    docs = [(k, prose + "\n\n" + prose) for k in range(30)] + [(100, "\n".join(f"- item {w}" for w in "abcdefgh")), (101, "\n".join(f"| {k} | x | {k * 3} | low |" for k in range(9)))]
+    docs += [(102, "\n".join(["deadbeefcafe0123" * 4] * 6)), (103, wrapped), (104, None), (105, " \n "), (106, "join join join join join\n" * 9), (107, prose * 200), (108, "name: x-1\nsize: y-2\nkind: z-3\nplace: q-4")]
+    got = {r.doc_id: r for r in Q.document_shares(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    best = {k: max(Q.STATES, key=lambda s: r[s]) for k, r in got.items()}
+    assert {k: best.get(k) for k in (0, 100, 101, 102, 103, 104, 105, 106, 107, 108)} == {0: "prose", 100: "list", 101: "table", 102: "junk", 103: "prose", 104: None, 105: None, 106: "junk", 107: "prose", 108: "list"}
