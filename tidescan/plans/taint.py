@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidescan.functions import languages as L
+from tidescan.functions.normalize import clean_path
 from tidescan.functions.text import alternation
 from tidescan.operators import taint as T
 from tidescan.plans import sql
 from tidescan.plans.code import file_lines
 from tidescan.session import materialise
-from tidescan.sources.files import delivered_files
+from tidescan.sources.tables import table
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +32,10 @@ def taint_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_taint_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = delivered_files(spark, sf_dir).filter(F.col("language") == "python")
+    """Flow inside each distinct excerpt of a Python file, by syntax trees of its whole statements."""
+    rows = table(spark, sf_dir, "findings").select(clean_path("file_path").alias("file_path"), F.regexp_replace("code_snippet", r"(?m)^(?:>>>)?[ \t]*\d+ \| ?", "").alias("content"))
+    named = rows.filter(L.detect_language(F.col("file_path")) == "python").distinct()
+    files = named.select(F.concat_ws("#", "file_path", F.md5("content")).alias("path"), "content")
     return T.variable_paths(materialise(T.python_facts(files, lenient=True), "tree-facts"), ordered=False)
 
 

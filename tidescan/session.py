@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once.
+
+    The archive lies in the shared folder. Where that is an object store, deploy the package with the job
+    (``--py-files``) instead; nothing is done then.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tidescan_shipped", False):
+        return
+    folder = shared_dir(spark)
+    if "://" in folder.replace("file://", "", 1) or not folder.replace("file://", "", 1).startswith("/"):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path("/" + folder.removeprefix("file:").lstrip("/"), f"tidescan-{uuid.uuid4().hex}", "tidescan.zip")
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, Path(package.name, f.relative_to(package)))
+    sc.addPyFile(str(target))
+    sc._tidescan_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/tidescan-{name}-{uuid.uuid4().hex}"
