@@ -33,8 +33,17 @@ from tidescan.sources.tables import table
 TRAIN_LINES, EPOCHS, BATCH, RATE = 12_000, 12, 128, 0.05
 O, B, I = 0, 1, 2
 
-#: A line can hold a credential only if it has such a run of characters or a key block's head.
-CANDIDATE = r"(?=[\w+/.\-#$!%?=~^&*]{6})[A-Za-z_+/.\-=~^&*]*(?:[0-9#!%?]|[A-Za-z0-9]\$)|PRIVATE KEY"
+#: What each line with a non-empty chain has: in one run of atoms a digit, mixed case beside a special character, or letters that
+#: are no words; a run of hex letters, the head of a known form, a key block's mark, a URL with a password, or an authorization word.
+ATOMS = r"[A-Za-z0-9_$#!%?+/.\-~^&*=]"
+CANDIDATE = "|".join([
+    rf"(?<!{ATOMS})(?={ATOMS}{{6}})(?:{ATOMS}*[0-9]|(?={ATOMS}*[a-z])(?={ATOMS}*[A-Z]){ATOMS}*(?:[#!%?^&*~]|(?<={ATOMS})\$))",
+    r"(?:(?<![A-Za-z])|(?<=\)s))(?=[A-Z]*[a-z])(?![A-Z]?[a-z]*(?:[A-Z]+[a-z]{2,})*[A-Z]?(?![A-Za-z]))[A-Za-z]{14}",
+    r"[0-9a-fA-F]{12}|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-",
+    r"AKIA|AIza|gh[pousr]_|github_pat_|glpat-|npm_|xox[abprs]-|sk_(?:live|test)_|rk_live_|sk-|SG\.|eyJ|hvs\.|shp(?:at|ss)_",
+    r"PRIVATE KEY|-----END [A-Z0-9 ]*[0-9]|#\{[^}]*(?:[0-9]|[^\x00-\x7F])",
+    r"(?s:://.*:.*@)|(?i:bearer|basic)(?![A-Za-z0-9_])",
+])
 NUMBERED = r"^(?:>>>)?\s*\d+ \| ?"
 
 TOKEN = re.compile(
