@@ -10,7 +10,9 @@ are redacted; all others stay.
 There are no labelled rows, so the field is trained on a bounded sample of distinct lines
 (``TRAIN_LINES``, picked by hash) that plain cases label: forms only credentials have,
 literals given to a secret's name, passwords in URLs. It then labels every distinct line
-of every finding; equal lines are labelled once and joined back.
+of every finding; equal lines are labelled once and joined back. What goes on in later lines
+of a snippet (the body of a key block, a literal continued on the next line) is then carried
+through its lines as I.
 """
 
 from __future__ import annotations
@@ -78,6 +80,16 @@ DIGEST_NAME = re.compile(
 SCHEME_WORD = re.compile(r"(?i)^(?:bearer|basic)$")
 TYPE_WORD = re.compile(r"^(?:str|string|String|char|const|let|var|final|static|private|public|val|int|byte|object|any|auto)$")
 COMMENT = re.compile(r"^\s*(?:#(?!define|include)|//|/\*|\*|--\s|;|<!--|%)")
+# A private key block: its marks, and a line of it without indent, comment mark, quotes and line ends.
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_LINE = re.compile(r"^(?:\s|\\[nr]|[+\"'`]\s*(?=[\"'`A-Za-z0-9/]))*(?:(?:#|//|\*|--|;)\s+)?(?:[\"'`])?(?P<core>\S.*?)(?:(?:\\[nr])*[\"'`]\s*[+.,;)\\&]*|(?:\\[nr])+\\?|\\)?\s*$")
+KEY_TEXT = re.compile(r"=?(?:[A-Za-z0-9+/]|\\[nr])+={0,2}")
+KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Comment|Version|Hash|Charset|MessageID): .*")
+# A literal that ends its line and goes on in the next, and how the next line begins then.
+GOES_ON = re.compile(r"^(?:[\"'`]\s*(?P<op>\+|\.\.?|&|\|\||<>)?\s*[\\_]?|(?P<open>\\))$")
+GOING_ON = re.compile(r"\s*(?P<op>\+|\.\.?|&|\|\||<>)?\s*[fbruFBRU]{0,2}(?P<q>[\"'`])(?P<part>(?![&?#])[A-Za-z0-9_$#!%?+/.\-~^&*=]{2,})(?P=q)")
+OPEN_PART = re.compile(r"\s*(?P<part>[A-Za-z0-9_$#!%?+/.\-~^&*=]+)")
 ATOM = re.compile(r"[A-Za-z0-9_$#!%?+/.\-~^&*]")
 
 
@@ -388,6 +400,120 @@ class Field:
         return out
 
 
+Spans = list[tuple[int, int]]
+
+
+def key_body(text: str, near_end: bool) -> tuple[int, int] | None:
+    """Where the matter of a key block stands on one of its lines; (0, 0) on a blank one, None on other code."""
+    m = KEY_LINE.match(text)
+    if not m or not any(c.isalnum() for c in m["core"]):
+        return None if m and m["core"].strip("\"'`+.,;)\\& #/*-") else (0, 0)
+    if KEY_HEADER.fullmatch(m["core"]) or KEY_TEXT.fullmatch(m["core"]) and (near_end or len(m["core"]) >= 16):
+        return m.span("core")
+    return None
+
+
+def continued(before: str, text: str) -> Spans:
+    """Spans of the literals of ``text`` that continue a literal, given the rest of its line after the credential."""
+    rest = GOES_ON.match(before)
+    if not rest:
+        return []
+    if rest["open"]:
+        m = OPEN_PART.match(text)
+        return [m.span("part")] if m else []
+    out: Spans = []
+    at, joined = 0, rest["op"]
+    while (m := GOING_ON.match(text, at)) and (not out or m["op"]) and not PLACEHOLDER.search(m["part"]):
+        if not (joined or m["op"] or re.match(r"\s*[),;\]}]*\s*\\?$", text[m.end() :])):
+            break
+        out.append(m.span("part"))
+        at, joined = m.end(), None
+    return out
+
+
+def carry(lines: list[str | None], spans: list[Spans]) -> tuple[list[Spans], list[bool]]:
+    """Spans of each line of a snippet with what goes on from earlier lines, and whether a credential begins on it.
+
+    ``spans`` are those of the lines alone. Lines not at hand are None; inside a block whose end is at hand they are skipped.
+    """
+    more: list[Spans] = [[] for _ in lines]
+
+    def body(k: int, step: int, last: int) -> None:
+        while 0 <= k < len(lines) and k != last:
+            text = lines[k]
+            if text is None and last < 0:
+                return
+            if text is not None:
+                found = None if KEY_BEGIN.search(text) or KEY_END.search(text) else key_body(text, last >= 0 and k + 1 == last or step < 0 and k + 1 < len(lines) and bool(KEY_END.search(lines[k + 1] or "")))
+                if found is None:
+                    return
+                if found[1]:
+                    more[k].append(found)
+            k += step
+
+    for k, text in enumerate(lines):
+        if text is None:
+            continue
+        open_at = None
+        for m in sorted([*KEY_BEGIN.finditer(text), *KEY_END.finditer(text)], key=lambda m: m.start()):
+            if m[0].startswith("-----BEGIN"):
+                open_at = m
+            elif open_at:
+                if KEY_TEXT.fullmatch(re.sub(r"[\s\"'`+,]", "", text[open_at.end() : m.start()])):
+                    more[k].append((open_at.end(), m.end()))
+                open_at = None
+            else:
+                ended = next((j for j in range(k - 1, -1, -1) if lines[j] is not None and (KEY_BEGIN.search(lines[j]) or KEY_END.search(lines[j]))), None)
+                if ended is None or KEY_END.search(lines[ended]):
+                    body(k - 1, -1, -1)
+                head = key_body(text[: m.start()], True) if text[: m.start()].strip() else None
+                if head and head[1]:
+                    more[k].append(head)
+                if k and more[k - 1] or head and head[1]:
+                    more[k].append(m.span())
+        if open_at:
+            rest = key_body(text[open_at.end() :], False)
+            if rest and rest[1]:
+                more[k].append((open_at.end() + rest[0], open_at.end() + rest[1]))
+            ahead = next((j for j in range(k + 1, len(lines)) if lines[j] is not None and (KEY_BEGIN.search(lines[j]) or KEY_END.search(lines[j]))), -1)
+            body(k + 1, 1, ahead if ahead >= 0 and KEY_END.search(lines[ahead]) else -1)
+    for k in range(len(lines) - 1):
+        here = [*spans[k], *more[k]]
+        if here and lines[k] is not None and lines[k + 1] is not None and not KEY_BEGIN.search(lines[k]):
+            more[k + 1] += continued(lines[k][max(b for _, b in here) :], lines[k + 1])
+    begins = [any(not any(a < d and c < b for c, d in on) for a, b in own) for own, on in zip(spans, more, strict=True)]
+    return [merged([*own, *on]) for own, on in zip(spans, more, strict=True)], begins
+
+
+def merged(spans: Spans) -> Spans:
+    out: Spans = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def bare(line: str) -> tuple[int, str]:
+    """What ``clean_line`` leaves of a line, and where in the line it begins."""
+    m = re.match(NUMBERED, line, re.ASCII)
+    at = m.end() if m else 0
+    text = re.sub("\r{1,2}$", "", line[at:]) if line.endswith("\r") else line[at:]
+    return at + len(text) - len(text.lstrip(" ")), text.strip(" ")
+
+
+def blank(snippet: str, known: dict[str, Spans]) -> str:
+    """The snippet with an asterisk for each character of a credential, given the spans of single lines."""
+    lines = snippet.split("\n")
+    ats, texts = zip(*map(bare, lines), strict=True)
+    for k, spans in enumerate(carry(list(texts), [known.get(t, []) for t in texts])[0]):
+        for a, b in spans:
+            a, b = a + ats[k], b + ats[k]
+            lines[k] = lines[k][:a] + "*" * (b - a) + lines[k][b:]
+    return "\n".join(lines)
+
+
 def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, snippet_line, line: lines of the current version of each finding that could hold a credential.
 
@@ -421,21 +547,58 @@ def fit(lines: DataFrame, bound: int = TRAIN_LINES) -> Field:
 
 
 def label_lines(lines: DataFrame, field: Field) -> DataFrame:
-    """line, starts, ends of every distinct line that holds a credential."""
+    """line, starts, ends of every distinct line that holds a credential or ends a key block (without spans, if it holds none)."""
     shared = lines.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, [a for a, _ in sp], [b for _, b in sp]) for s in pdf["line"] if (sp := shared.value.spans(s))]
+            rows = [(s, [a for a, _ in sp], [b for _, b in sp]) for s in pdf["line"] if (sp := shared.value.spans(s)) or KEY_END.search(s)]
             yield pd.DataFrame(rows, columns=["line", "starts", "ends"])
 
     return lines.select("line").distinct().mapInPandas(run, "line string, starts array<int>, ends array<int>")
 
 
-def find_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, snippet_line, line, starts, ends: each line of a current finding on which a credential stands."""
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, parts: the labelled lines (snippet_line, line, starts, ends) of each current finding that has any."""
     lines = materialise(candidate_lines(spark, sf_dir), "candidate-lines")
-    return lines.join(label_lines(lines, fit(lines)), "line").select("id", "snippet_line", "line", "starts", "ends")
+    found = lines.join(label_lines(lines, fit(lines)), "line")
+    return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("snippet_line", "line", "starts", "ends"))).alias("parts"))
+
+
+def beginnings(parts: list) -> list[int]:
+    """Numbers of the lines on which a credential begins."""
+    at = [p["snippet_line"] for p in parts]
+    if len(set(at)) < len(at):  # two versions of one time
+        return sorted({p["snippet_line"] for p in parts if len(p["starts"])})
+    lines, spans = [None] * max(at), [[] for _ in range(max(at))]
+    for p in parts:
+        lines[p["snippet_line"] - 1], spans[p["snippet_line"] - 1] = p["line"], list(zip(p["starts"], p["ends"], strict=True))
+    return [k for k, begins in enumerate(carry(lines, spans)[1], 1) if begins]
+
+
+def find_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, snippet_line: each line of a current finding on which a credential begins."""
+    begin = F.pandas_udf(lambda parts: parts.map(beginnings), "array<int>")
+    return labelled(spark, sf_dir).select("id", F.explode(begin("parts")).alias("snippet_line"))
+
+
+def redacted_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, code_snippet: every current finding, its credentials blanked where they stand, all else unchanged."""
+    raw = table(spark, sf_dir, "findings").select(clean_id("id").alias("id"), "ingested_at", "code_snippet")
+    last = raw.groupBy("id").agg(F.max("ingested_at").alias("ingested_at"))
+    parts = last.join(labelled(spark, sf_dir), "id")
+    rows = raw.join(last, ["id", "ingested_at"], "left_semi").distinct().join(parts, ["id", "ingested_at"], "left")
+
+    def run(snippets: pd.Series, parts: pd.Series) -> pd.Series:
+        none: list = []
+        return pd.Series([
+            None if s is None else blank(s, {p["line"]: list(zip(p["starts"], p["ends"], strict=True)) for p in (none if ps is None else ps)})
+            for s, ps in zip(snippets, parts, strict=True)
+        ], dtype=object)
+
+    touched = F.col("parts").isNotNull() | F.col("code_snippet").contains("-----END")
+    done = F.pandas_udf(run, "string")(F.when(touched, F.col("code_snippet")), F.col("parts"))
+    return rows.select("id", F.when(touched, done).otherwise(F.col("code_snippet")).alias("code_snippet"))
 
 
 def redact(line: Column, starts: Column, ends: Column) -> Column:

@@ -22,13 +22,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credentials.find_credentials(spark, sf_dir).select("id", "snippet_line")
+    return credentials.find_credentials(spark, sf_dir)
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = credentials.find_credentials(spark, sf_dir)
-    clean = credentials.redact(F.col("line"), F.col("starts"), F.col("ends"))
-    return found.select("id", "snippet_line", clean.alias("redacted"))
+    return credentials.redacted_snippets(spark, sf_dir)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
