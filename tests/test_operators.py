@@ -94,6 +94,27 @@ def test_evaluation(spark):
     assert (total.tp, total.fp, total.fn) == (1, 1, 1) and total.f1 == 0.5
 
 
+def test_reports_hold_every_finding(spark):
+    import json
+
+    from tidescan.operators import report
+
+    names = ["run_id", "id", "file_path", "vuln_type", "severity", "confidence", "status", "title", "cwe", "owasp", "code_snippet"]
+    more = ["language", "cvss_vector", "description", "taint_source", "taint_sink", "remediation"]
+    rows = [("r" if k % 50 else None, f"i{k:04}", "f", f"t{k % 7}", ["low", "critical", None][k % 3], "c", "s", f"T{k:04}.", "", "o", "x") for k in range(1300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).selectExpr("*", "1 line_start", "1 line_end", "1.0D cvss_score", *[f"'{n}!' {n}" for n in more])
+    docs = [json.loads(r.document) | {"part": r.part_no} for r in report.json_report(df).collect() if r.run_id]
+    listed = [f["id"] for d in sorted(docs, key=lambda d: d["part"]) for f in d["findings"]]
+    assert all(f[n] == f"{n}!" for d in docs for f in d["findings"] for n in more)
+    rank = {"critical": 0, "low": 3, None: 4}
+    assert listed == [r[1] for r in sorted((r for r in rows if r[0]), key=lambda r: (rank[r[4]], r[1]))] and {d["summary"]["total"] for d in docs} == {1274}
+    sarif = [json.loads(r.document)["runs"][0] for r in report.sarif(df).collect() if r.run_id]
+    assert sorted(len(x["results"]) for x in sarif) == [274, 1000] and all(len(x["tool"]["driver"]["rules"]) == 7 for x in sarif)
+    for made in (report.markdown, report.html):
+        text = "".join(r.document for r in made(df).collect())
+        assert all(r[7] in text for r in rows)
+
+
 def test_stream_of_files(spark, tmp_path):
     from tidescan.streaming.incremental import SCHEMA, scan_arrivals
 

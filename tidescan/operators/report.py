@@ -1,7 +1,7 @@
 """Reports of a run: severity tables, Markdown, JSON, HTML and SARIF documents.
 
-Each document is built by Spark as one row of text per run from the worst findings first.
-The number of findings in a document is a parameter, since a report is read by people.
+Each document is built by Spark as one or more parts (rows of text) per run, the worst findings
+first. The number of findings in a part is a parameter; no finding is left out.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import SEVERITIES, clean_id, severity_rank
+from tidescan.session import materialise
 
 BAR = 30
 
@@ -40,18 +41,34 @@ def escape_html(c: Column) -> Column:
     return out
 
 
-def worst(findings: DataFrame, most: int) -> DataFrame:
-    w = W.partitionBy("run_id").orderBy(severity_rank("severity"), "id")
-    return findings.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+def numbered(findings: DataFrame, most: int) -> DataFrame:
+    """The findings with part_no and _n, their place in the run, from 1 and the worst first.
+
+    Places are counted in range partitions and shifted by the run's rows in those before, so no run is one group.
+    """
+    key = ["run_id", "_rank", "id"]
+    ranked = findings.withColumn("_rank", severity_rank("severity"))
+    rows = materialise(ranked.repartitionByRange(*key).sortWithinPartitions(*key).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "numbered")
+    pieces = rows.groupBy(F.col("run_id").alias("_run"), F.col("_p").alias("_part")).agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    ahead = F.coalesce(F.sum("_rows").over(W.partitionBy("_run").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("_run", "_part", (ahead - F.col("_first")).alias("_shift"))
+    placed = rows.join(pieces, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_p") == F.col("_part"))).withColumn("_n", F.col("_m") + F.col("_shift") + 1)
+    return placed.withColumn("part_no", F.floor((F.col("_n") - 1) / most).cast("int") + 1).drop("_rank", "_p", "_m", "_run", "_part", "_shift")
+
+
+def _beside(parts: DataFrame, by_run: DataFrame) -> DataFrame:
+    """Each part with the row of its run, a null run too."""
+    other = by_run.withColumnRenamed("run_id", "_run")
+    return parts.join(other, F.col("run_id").eqNullSafe(F.col("_run"))).drop("_run")
 
 
 def _joined(findings: DataFrame, text: Column, most: int, sep: str) -> DataFrame:
-    rows = worst(findings, most).select("run_id", F.struct("_n", text.alias("t")).alias("x"))
-    return rows.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), sep).alias("body"), F.count(F.lit(1)).alias("shown"))
+    rows = numbered(findings, most).select("run_id", "part_no", F.struct("_n", text.alias("t")).alias("x"))
+    return rows.groupBy("run_id", "part_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), sep).alias("body"))
 
 
 def markdown(findings: DataFrame, most: int = 200) -> DataFrame:
-    """run_id, document."""
+    """run_id, part_no, document."""
     text = F.concat(
         F.lit("### ["), F.upper(F.coalesce(SEVERITY_WORD(), F.lit("informational"))), F.lit("] "), F.coalesce("title", "vuln_type", F.lit("finding")), F.lit("\n\n- File: `"),
         F.coalesce("file_path", F.lit("?")), F.lit(":"), F.coalesce(F.col("line_start").cast("string"), F.lit("0")), F.lit("`\n- Status: "), F.coalesce("status", F.lit("candidate")),
@@ -59,24 +76,27 @@ def markdown(findings: DataFrame, most: int = 200) -> DataFrame:
     )
     counts = severity_pivot(findings, "run_id")
     head = F.concat(F.lit("# Security report\n\n| severity | findings |\n|---|---|\n"), *[F.concat(F.lit(f"| {w} | "), F.col(w).cast("string"), F.lit(" |\n")) for w in SEVERITIES], F.lit("\n"))
-    return _joined(findings, text, most, "\n").join(counts, "run_id").select("run_id", F.concat(head, "body").alias("document"))
+    return _beside(_joined(findings, text, most, "\n"), counts).select("run_id", "part_no", F.concat(head, "body").alias("document"))
 
 
 def json_report(findings: DataFrame, most: int = 200) -> DataFrame:
-    """run_id, document: a summary of all five severities and the findings."""
-    one = F.struct("id", "file_path", "line_start", "line_end", "vuln_type", "severity", "confidence", "status", "title", "cwe", "owasp", "cvss_score", "code_snippet")
-    rows = worst(findings, most).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", one.alias("f")))), lambda x: x["f"]).alias("findings"))
+    """run_id, part_no, document: a summary of all five severities and the findings."""
+    one = F.struct(
+        "id", "file_path", "line_start", "line_end", "language", "vuln_type", "severity", "confidence", "status", "title", "description", "cwe", "owasp", "cvss_score", "cvss_vector",
+        "code_snippet", "taint_source", "taint_sink", "remediation",
+    )
+    rows = numbered(findings, most).groupBy("run_id", "part_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", one.alias("f")))), lambda x: x["f"]).alias("findings"))
     summary = severity_pivot(findings, "run_id").select("run_id", F.struct(*SEVERITIES, "total").alias("summary"))
-    return rows.join(summary, "run_id").select("run_id", F.to_json(F.struct("run_id", "summary", "findings")).alias("document"))
+    return _beside(rows, summary).select("run_id", "part_no", F.to_json(F.struct("run_id", "part_no", "summary", "findings")).alias("document"))
 
 
 def html(findings: DataFrame, most: int = 200) -> DataFrame:
-    """run_id, document: one collapsible section per finding, all text escaped."""
+    """run_id, part_no, document: one collapsible section per finding, all text escaped."""
     text = F.concat(
         F.lit('<details class="'), escape_html(F.coalesce(SEVERITY_WORD(), F.lit("informational"))), F.lit('"><summary>'), escape_html(F.coalesce("title", "vuln_type")), F.lit(" - "),
         escape_html(F.col("file_path")), F.lit(":"), escape_html(F.col("line_start")), F.lit("</summary><pre>"), escape_html(F.col("code_snippet")), F.lit("</pre></details>"),
     )
-    return _joined(findings, text, most, "\n").select("run_id", F.concat(F.lit("<!doctype html><html><body><h1>Security report</h1>\n"), "body", F.lit("\n</body></html>")).alias("document"))
+    return _joined(findings, text, most, "\n").select("run_id", "part_no", F.concat(F.lit("<!doctype html><html><body><h1>Security report</h1>\n"), "body", F.lit("\n</body></html>")).alias("document"))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
@@ -87,7 +107,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame, most: int = 1000) -> DataFrame:
-    """run_id, document: SARIF 2.1.0 with rules, results and stable fingerprints."""
+    """run_id, part_no, document: SARIF 2.1.0 with rules, results and stable fingerprints."""
     rank = severity_rank("severity")
     rule = F.coalesce(F.nullif("cwe", F.lit("")), "vuln_type")
     place = F.array(F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.coalesce("line_start", F.lit(1)), F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation")))
@@ -96,8 +116,7 @@ def sarif(findings: DataFrame, most: int = 1000) -> DataFrame:
         rule.alias("ruleId"), F.when(rank <= 1, "error").when(rank == 2, "warning").otherwise("note").alias("level"), F.struct(F.coalesce("title", "vuln_type").alias("text")).alias("message"),
         place.alias("locations"), F.struct(print_.alias("primary")).alias("fingerprints"),
     )
-    rows = worst(findings, most).groupBy("run_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_n", result.alias("r")))), lambda x: x["r"]).alias("results"), F.array_sort(F.collect_set(F.struct(rule.alias("id"), F.struct(F.col("vuln_type").alias("text")).alias("shortDescription")))).alias("rules")
-    )
+    rows = numbered(findings, most).groupBy("run_id", "part_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", result.alias("r")))), lambda x: x["r"]).alias("results"))
+    rules = findings.groupBy("run_id").agg(F.array_sort(F.collect_set(F.struct(rule.alias("id"), F.struct(F.col("vuln_type").alias("text")).alias("shortDescription")))).alias("rules"))
     run = F.struct(F.struct(F.struct(F.lit("tidescan").alias("name"), "rules").alias("driver")).alias("tool"), "results")
-    return rows.select("run_id", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+    return _beside(rows, rules).select("run_id", "part_no", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))

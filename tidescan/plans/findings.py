@@ -16,6 +16,7 @@ COLUMNS = {
     "run_id": lambda: clean_id("run_id"), "file_path": lambda: clean_path("file_path"), "line_start": lambda: F.col("line_start"), "vuln_type": lambda: F.col("vuln_type"),
     "severity": lambda: clean_id("severity"), "status": lambda: F.col("status"), "title": lambda: F.col("title"), "cwe": lambda: F.col("cwe"), "owasp": lambda: F.col("owasp"),
     "cvss_score": lambda: one_decimal("cvss_score"), "cvss_vector": lambda: F.col("cvss_vector"), "code_snippet": lambda: F.col("code_snippet"), "confidence": lambda: F.col("confidence"), "line_end": lambda: F.col("line_end"),
+    **{n: (lambda n=n: F.col(n)) for n in ("language", "description", "taint_source", "taint_sink", "remediation")},
 }
 
 
@@ -91,7 +92,7 @@ def sarif_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current(spark, sf_dir, "run_id", "file_path", "line_start", "line_end", "vuln_type", "severity", "confidence", "status", "title", "cwe", "owasp", "cvss_score", "code_snippet")
+    return current(spark, sf_dir, "run_id", "file_path", "line_start", "line_end", "vuln_type", "severity", "confidence", "status", "title", "cwe", "owasp", "cvss_score", "cvss_vector", "code_snippet", "language", "description", "taint_source", "taint_sink", "remediation")
 
 
 def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
