@@ -254,17 +254,63 @@ def test_token_counts_match_the_library(spark):
 def test_viterbi_of_lines_is_the_best_path():
     rng = np.random.default_rng(0)
     model = Q.Model(rng.random(4), rng.random((4, 4)), rng.random((4, Q.WIDTH)) * 20)
-    feats = np.array([[rng.integers(n) for n in Q.SIZES] for _ in range(5)])
-    e = model.emit[:, feats + Q.OFFSETS].sum(2).T
-    score = lambda p: model.start[p[0]] + sum(e[k, y] for k, y in enumerate(p)) + sum(model.step[a, b] for a, b in pairwise(p))
-    assert list(max(np.ndindex(*[4] * 5), key=score)) == list(model.viterbi(feats))
+    size = np.array([5, 2, 1])
+    feats = np.array([[[rng.integers(n) for n in Q.SIZES] for _ in range(5)] for _ in size])
+    got, (post, moves) = model.viterbi(feats, size), model.expected(feats, size)
+    want_post, want_moves = np.zeros_like(post), np.zeros((4, 4))
+    for d, n in enumerate(size):
+        e = model.scores(feats)[d]
+        score = lambda p: model.start[p[0]] + sum(e[k, y] for k, y in enumerate(p)) + sum(model.step[a, b] for a, b in pairwise(p))  # noqa: B023, E731
+        paths = list(np.ndindex(*[4] * n))
+        assert list(max(paths, key=score)) == list(got[d, :n])
+        chance = np.exp([score(p) for p in paths])
+        for p, c in zip(paths, chance / chance.sum(), strict=True):
+            for k, y in enumerate(p):
+                want_post[d, k, y] += c
+            for a, b in pairwise(p):
+                want_moves[a, b] += c
+    assert np.allclose(post, want_post) and np.allclose(moves, want_moves)
+
+
+def test_line_statistics():
+    texts = ["A b.\r\n\r\n- item one\n", "x,1,2,3,4\n\ty z", "", " \n "]
+    doc, size, feats, words, cells = Q.line_features(texts, np.zeros(Q.SYMBOLS**2))
+    f = dict(zip(Q.NAMES, feats.T, strict=True))
+    assert doc.tolist() == [0, 0, 1, 1] and size.tolist() == [4, 10, 9, 3] and words.tolist() == [2, 2, 1, 2] and len(cells) == 7
+    assert (f["start"] // 3).tolist() == [0, 1, 0, 0] and f["fields"].tolist() == [0, 0, 3, 0] and f["end"].tolist() == [2, 0, 0, 0]
+    assert cells[0] != cells[1] and Q.line_features(["B"], np.zeros(Q.SYMBOLS**2))[4][0] == cells[1]
+    long = Q.line_features(["w" * 100_000], np.zeros(Q.SYMBOLS**2))
+    assert long[1].tolist() == [100_000] and Q.line_features([""], np.zeros(Q.SYMBOLS**2))[2].shape == (0, len(Q.SIZES))
+
+
+# Prose of languages that share no word list with the store.
+OTHERS = [
+    "Depo ekibi bu değerin sorguya ulaşmadan önce denetlenmediğini buldu. Bir sonraki sürümü beklemek yerine hemen düzeltilmesini istiyorlar. Günlük kayıtları da bunu gösteriyor.",
+    "Zespół magazynu ustalił, że ta wartość nie była sprawdzana, zanim trafiła do zapytania. Woleliby poprawkę teraz, niż czekać na następne wydanie. Dzienniki to potwierdzają.",
+    "Команда хранилища выяснила, что это значение не проверялось до запроса. Они хотят исправить это сейчас, а не ждать следующего выпуска. Журналы это подтверждают.",
+    "ストレージチームは、この値がクエリに届く前に検査されていないことを見つけました。次の版を待つより、今すぐ直したいそうです。記録もそれを示しています。",
+]
 
 
 def test_shapes(spark):
     prose = "The storage team found that this value was not checked before it reached the query. They would rather have a fix now than wait until the next release."
-    wrapped = "\n".join(prose.split())
-    docs = [(k, prose + "\n\n" + prose) for k in range(30)] + [(100, "\n".join(f"- item {w}" for w in "abcdefgh")), (101, "\n".join(f"| {k} | x | {k * 3} | low |" for k in range(9)))]
-    docs += [(102, "\n".join(["deadbeefcafe0123" * 4] * 6)), (103, wrapped), (104, None), (105, " \n "), (106, "join join join join join\n" * 9), (107, prose * 200), (108, "name: x-1\nsize: y-2\nkind: z-3\nplace: q-4")]
+    wrapped = "\n".join(prose[k : k + 40] for k in range(0, len(prose), 40))
+    rng = random.Random(3)
+    noise = lambda: " ".join("".join(rng.choice("asdfghjklqwrtyp;,") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    docs = [(k, prose + "\n\n" + prose) for k in range(60)] + [(60 + k, "\n".join(f"- item {w}" for w in "abcdefgh")) for k in range(9)] + [(70 + k, "\n".join(f"| {j} | x{k} | {j * 3} | low |" for j in range(9))) for k in range(9)]
+    docs += [(80 + k, "\n".join(["deadbeefcafe0123" * 4] * 6)) for k in range(6)] + [(90 + k, noise()) for k in range(6)]
+    docs += [(103, wrapped), (104, None), (105, " \n "), (106, "join join join join join\n" * 9), (107, prose * 200), (108, "name: x-1\nsize: y-2\nkind: z-3\nplace: q-4")] + [(110 + k, t) for k, t in enumerate(OTHERS)]
     got = {r.doc_id: r for r in Q.document_shares(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     best = {k: max(Q.STATES, key=lambda s: r[s]) for k, r in got.items()}
-    assert {k: best.get(k) for k in (0, 100, 101, 102, 103, 104, 105, 106, 107, 108)} == {0: "prose", 100: "list", 101: "table", 102: "junk", 103: "prose", 104: None, 105: None, 106: "junk", 107: "prose", 108: "list"}
+    want = {0: "prose", 60: "list", 70: "table", 80: "junk", 90: "junk", 103: "prose", 104: None, 105: None, 106: "junk", 107: "prose", 108: "list", 110: "prose", 111: "prose", 112: "prose", 113: "prose"}
+    assert {k: best.get(k) for k in want} == want
+    assert Q.document_shares(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_statistics_have_a_row_for_every_text(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "!!! ???"), (4, "Größe für alle.\n\nIt's 日本 x"), (5, "the " * 9000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in Q.text_statistics(spark, str(tmp_path)).collect()}
+    assert [got[1][c] for c in ("words", "mean_word_length", "symbol_ratio", "ended_lines", "common_words")] == [None] * 5
+    assert (got[2].words, got[2].mean_word_length, got[3].words, got[3].symbol_ratio, got[3].ended_lines) == (0, None, 0, 0.8571, 1.0)
+    assert (got[4].words, got[4].mean_word_length, got[4].ended_lines) == (6, 3.1667, 0.5) and got[5].common_words == 1.0

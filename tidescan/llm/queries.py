@@ -71,15 +71,15 @@ WHERE rn <= 10
 _COMMON = ", ".join(f"'{w}'" for w in quality.COMMON_WORDS)
 P9_SQL = f"""
 WITH d AS (
-  SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^a-z0-9'']+'), lambda w: w <> '') AS w,
+  SELECT doc_id, text, regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}]+(?:[''’][\\p{{L}}\\p{{M}}\\p{{N}}]+)*') AS w,
          list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda s: trim(s) <> '') AS s
   FROM documents)
 SELECT doc_id, len(w)::BIGINT AS words,
-       round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w), 4) AS mean_word_length,
-       round(length(regexp_replace(text, '[A-Za-z0-9\\s]', '', 'g'))::DOUBLE / length(text), 4) AS symbol_ratio,
-       round(len(list_filter(s, lambda x: regexp_matches(x, '[.!?]\\s*$')))::DOUBLE / len(s), 4) AS ended_lines,
-       round(len(list_filter(w, lambda x: x IN ({_COMMON})))::DOUBLE / len(w), 4) AS common_words
-FROM d WHERE len(w) > 0
+       CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w), 4) END AS mean_word_length,
+       CASE WHEN length(text) > 0 THEN round(len(regexp_extract_all(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Z}}\\t\\n\\r\\f]'))::DOUBLE / length(text), 4) END AS symbol_ratio,
+       CASE WHEN len(s) > 0 THEN round(len(list_filter(s, lambda x: regexp_matches(x, '[.!?]\\s*$')))::DOUBLE / len(s), 4) END AS ended_lines,
+       CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: lower(x) IN ({_COMMON})))::DOUBLE / len(w), 4) END AS common_words
+FROM d
 """
 
 QUERIES = {
