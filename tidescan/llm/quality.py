@@ -255,8 +255,8 @@ def line_features(texts: list[str], pairs: np.ndarray) -> tuple[np.ndarray, np.n
     kinds_in = np.maximum.reduceat(np.where(inside, cps, 0), begin) == np.minimum.reduceat(np.where(inside, cps, 0xFFFFFF), begin)
     repeat = np.where(kinds_in & (size >= 6) | (words >= 4) & (distinct < np.where(words <= 12, 0.4, 0.2)), 2, np.where((words >= 4) & (distinct < 0.6), 1, 0))
     case = np.where(word_at[np.minimum(w0, len(word_at) - 1)] < ends, kind[word_at[np.minimum(w0, len(word_at) - 1)]], 0) if len(word_at) else np.zeros(m)
-    case = np.where(words == 0, 0, np.where(case == UPPER, 2, 1))
-    commas = per_line(any_of(_COMMAS) & (kind_after == SPACE) & (kind_before != SPACE)) > 0
+    case = np.where(words == 0, 0, np.where(case == LOWER, 1, 2))
+    commas = per_line(any_of(_COMMAS) & ((kind_after == SPACE) | (cps > 255)) & (kind_before != SPACE)) > 0
     feats = np.stack([
         bins(words, 0, 1, 3, 8, 15, 30) * 4 + paragraph, start * 3 + bins(words, 4, 9), fields, bins(letters, 0.4, 0.7, 0.9), bins(odd_chars / size, 0.15, 0.5), bins(fit, 0.0, 0.3, 0.6),
         repeat, end, near, bins(size, 12, 45, 95), bins(short, 0.0, 0.12, 0.3), case, commas, np.zeros(m),
