@@ -83,7 +83,7 @@ def sample_lines(n, seed=5):
 
 
 def test_field_on_held_out_lines():
-    field = C.Field.train([s for s, _ in sample_lines(500)], epochs=6)
+    field = C.Field.train([s for s, _ in sample_lines(500)], epochs=12)
     held = sample_lines(300, seed=9)
     wrong = [(s, y) for s, y in held if bool(field.spans(s)) != y]
     assert len(wrong) <= 6, wrong[:5]
@@ -97,11 +97,57 @@ def test_viterbi_is_the_best_path():
     field = C.Field.train([s for s, _ in sample_lines(60)], epochs=2)
     line = C.Line(f'token = "{secret(16, 1)}" + "{secret(16, 2)}"')
     e = field.emissions(field.rows(line))
+    e[0, C.I] = C.BANNED
     score = lambda p: sum(e[k, y] for k, y in enumerate(p)) + sum(field.step[a, b] for a, b in pairwise(p))
     best = max(np.ndindex(*[3] * len(e)), key=score)
     assert list(best) == field.viterbi(line)
 
 
+def test_likelihood_of_known_labels_grows_with_its_gradient():
+    rng = np.random.default_rng(1)
+    rows, labels = [[0, 1], [2], [1, 3], [0]], [C.O, C.OPEN, C.B, C.OPEN]
+    w, a = rng.normal(size=(4, 3)), C.no_step() + np.where(C.no_step() < 0, 0, rng.normal(size=(3, 3)))
+
+    def total(known):
+        out = []
+        for p in np.ndindex(3, 3, 3, 3):
+            if p[0] != C.I and all(y in (C.OPEN, q) for y, q in zip(known, p, strict=True)):
+                out.append(sum(w[i, y] for r, y in zip(rows, p, strict=True) for i in r) + sum(a[x, y] for x, y in pairwise(p)))
+        return np.logaddexp.reduce(out)
+
+    gw, ga = np.zeros_like(w), np.zeros_like(a)
+    C.Field._gradient((rows, labels), w, a, gw, ga)
+    for m, g in ((w, gw), (a, ga)):
+        for at in np.ndindex(m.shape):
+            if m[at] > -100:
+                m[at] += 1e-5
+                up = total(labels) - total([C.OPEN] * 4)
+                m[at] -= 2e-5
+                down = total(labels) - total([C.OPEN] * 4)
+                m[at] += 1e-5
+                assert abs((up - down) / 2e-5 - g[at]) < 1e-4
+
+
+def test_the_field_decides_where_no_case_is_sure():
+    field = C.Field.train([s for s, _ in sample_lines(600)], epochs=12)
+    open_ = [f'{n} = "{secret(40, k)}"' for k, n in enumerate(["param", "config.header", "seed", "cfg"] * 5)]
+    assert all(C.Line(s).cues() == [C.OPEN] for s in open_) and sum(bool(field.spans(s)) for s in open_) >= 18
+    assert all(C.Line(f'{n} = "{v}"').cues() == [C.OPEN] for n in ("password", "api_key", "token") for v in ("sunshine", "letmein", "summertime"))
+    for s in ("password: letmein", "PASSWORD=qwertyuiop", 'password = "changeme"', 'secret = "vault:kv/a/b"'):
+        assert C.Line(s).chain, s
+    assert not field.spans('password = "changeme"') and not field.spans("call(password=userPassword)")
+    key = 'k = "-----BEGIN PRIVATE KEY-----\\nMIIEow7aB9xQ\\n"'
+    assert "\\n" in C.Line(key).toks and not any(t.startswith("nMIIE") for t in C.Line(key).toks)
+
+
+def test_fit_in_parts(spark):
+    lines = spark.createDataFrame([(s,) for s, _ in sample_lines(400)], "line string")
+    field = C.fit(lines)
+    held = sample_lines(200, seed=11)
+    assert sum(bool(field.spans(s)) != y for s, y in held) <= 6
+    assert C.fit(lines.limit(0)).spans("x = 1") == []
+
+
 def test_redaction_keeps_the_rest(spark):
     df = spark.createDataFrame([("ab 'cdef' + 'gh'", [4, 13], [8, 15])], "line string, starts array<int>, ends array<int>")
     assert df.select(C.redact(F.col("line"), F.col("starts"), F.col("ends"))).first()[0] == "ab '****' + '**'"

@@ -1,16 +1,21 @@
 r"""Credentials embedded in source code.
 
-Each line is cut into lexical tokens. Those that can be a literal value (not marks, plain
-words, placeholders) form a chain that a linear-chain conditional random field labels
-O (other), B (a credential begins) or I (it goes on, as in a literal split by ``+``). The
-features are a token's shape (length, character mix, known forms) and its context (the
-names before it, quotes, URL parts, comments). Viterbi spans say exactly which characters
-are redacted; all others stay.
+Each line is cut into lexical tokens. Those that can be a literal value (strong forms
+anywhere; words, paths and placeholders where a secret's name stands before them) form a
+chain that a linear-chain conditional random field labels O (other), B (a credential
+begins) or I (it goes on, as in a literal split by ``+``). The features are a token's shape
+(length, character mix, known forms) and its context (the names before it, quotes, URL
+parts, comments), hashed to ``SPACE`` cells. Viterbi spans say exactly which characters are
+redacted; all others stay.
 
 There are no labelled rows, so the field is trained on a bounded sample of distinct lines
-(``TRAIN_LINES``, picked by hash) that plain cases label: forms only credentials have,
-literals given to a secret's name, passwords in URLs. It then labels every distinct line
-of every finding; equal lines are labelled once and joined back. What goes on in later lines
+(``TRAIN_LINES``, picked by hash) of which only the sure cases carry a label: forms only
+credentials have, strong literals given to a secret's name, passwords in URLs; placeholders,
+digests, references. All other places of the chains have none: the likelihood sums over
+their labels, and the field alone decides on them. Training runs in Spark tasks: each part
+of the sample is fitted by itself, the weights are averaged, and so on for ``ROUNDS``. The
+field then labels every distinct line of every finding; equal lines are labelled once and
+joined back. What goes on in later lines
 of a snippet (the body of a key block, a literal continued on the next line) is then carried
 through its lines as I.
 """
@@ -20,6 +25,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +37,19 @@ from tidescan.functions.normalize import clean_id
 from tidescan.session import materialise
 from tidescan.sources.tables import table
 
-#: Bound of the training sample, its passes, batch and step size.
-TRAIN_LINES, EPOCHS, BATCH, RATE = 12_000, 12, 128, 0.05
+#: Bound of the training sample, its parts and rounds, and the passes, batch and step size of a round.
+TRAIN_LINES, PARTS, ROUNDS, EPOCHS, BATCH, RATE = 12_000, 8, 3, 3, 32, 0.05
+#: Cells of the hashed features.
+SPACE = 1 << 16
 O, B, I = 0, 1, 2
+#: I follows only B and I.
+BANNED = -1e4
+#: A place whose label the training does not know.
+OPEN = -1
 
 #: What each line with a non-empty chain has: in one run of atoms a digit, mixed case beside a special character, or letters that
-#: are no words; a run of hex letters, the head of a known form, a key block's mark, a URL with a password, or an authorization word.
+#: are no words; a run of hex letters, the head of a known form, a key block's mark, a URL with a password, an authorization word, or
+#: a secret's name.
 ATOMS = r"[A-Za-z0-9_$#!%?+/.\-~^&*=]"
 CANDIDATE = "|".join([
     rf"(?<!{ATOMS})(?={ATOMS}{{6}})(?:{ATOMS}*[0-9]|(?={ATOMS}*[a-z])(?={ATOMS}*[A-Z]){ATOMS}*(?:[#!%?^&*~]|(?<={ATOMS})\$))",
@@ -45,13 +58,14 @@ CANDIDATE = "|".join([
     r"AKIA|AIza|gh[pousr]_|github_pat_|glpat-|npm_|xox[abprs]-|sk_(?:live|test)_|rk_live_|sk-|SG\.|eyJ|hvs\.|shp(?:at|ss)_",
     r"PRIVATE KEY|-----END [A-Z0-9 ]*[0-9]|#\{[^}]*(?:[0-9]|[^\x00-\x7F])",
     r"(?s:://.*:.*@)|(?i:bearer|basic)(?![A-Za-z0-9_])",
+    r"(?i:pass|pwd|secret|token|api[_\-]?key|cred|auth|(?:signing|private|access|encryption|account)[_\-]?key|jwt|login|dsn|psk|pw)|-u|--user",
 ])
 NUMBERED = r"^(?:>>>)?\s*\d+ \| ?"
 
 TOKEN = re.compile(
     r"-----(?:BEGIN|END) [A-Z0-9 ]+-----"
     r"|\$\{[^}\s]*\}|\$\([^)\s]*\)|\{\{[^}\n]*\}\}|%\([^)\s]*\)s|#\{[^}\s]*\}"
-    r"|[A-Za-z][A-Za-z0-9+.\-]*://"
+    r"|[A-Za-z][A-Za-z0-9+.\-]*://|\\[nrt]"
     r"|[A-Za-z0-9_$#!%?+/.\-~^&*]+(?:={1,2}(?=[\"'](?:[\s;,)\]}:]|$)|[\s;,)<]|$))?"
     r"|\S"
 )
@@ -127,6 +141,8 @@ def family(v: str) -> str:
     special = any(c in "#!%?^&*~" or c == "$" and k for k, c in enumerate(v))
     if KNOWN_START.match(v) and len(v) >= 10:
         return "knownpart"
+    if PARTS_OF_WORDS.match(v):
+        return "path"
     if len(v) >= 20 and upper and lower and digit and re.fullmatch(r"[A-Za-z0-9+/=_\-]+", v):
         return "long"
     code = CODE.search(v)
@@ -145,11 +161,17 @@ def family(v: str) -> str:
     return "word"
 
 
+#: Words and short codes between slashes.
+PARTS_OF_WORDS = re.compile(r"^(?:[A-Z]{0,5}\d{0,3}(?:[A-Z]?[a-z]{2,})*/)+[A-Z]{0,5}\d{0,3}(?:[A-Z]?[a-z]{2,})*$")
 #: Marks of an expression rather than of a value.
 CODE = re.compile(r"//|&&|\*\*|\+\+|--|[?!.*&][a-z_.]|^[#*&]|\?$")
 STRONG = {"known", "knownpart", "long", "symbols", "mixed", "hex", "digits", "uuid", "letters"}
 
 
+#: What stands before a value.
+VALUE_MARKS = {'"', "'", "`", ":", "=", ">", "(", ","}
+
+
 def tokenise(line: str) -> tuple[list[str], list[int]]:
     toks, at = [], []
     for m in TOKEN.finditer(line):
@@ -203,9 +225,14 @@ class Line:
                 continue
             joined = self.alone[k] and k >= 4 and self.toks[k - 2] in ("+", ".") and bool(self.chain) and self.chain[-1] == k - 4
             after_auth = bool(atoms) and len(t) >= 8 and SCHEME_WORD.match(atoms[-1]) is not None
-            if f in STRONG or f == "keyblock" or (self.part[k] == "password" or after_auth or joined) and f not in ("placeholder", "scheme"):
+            names = ([name_class(x) for x in atoms[:-4:-1]] + ["none"] * 3)[:3] if f != "scheme" else []
+            named = f in ("word", "path", "placeholder") and len(t) >= 4 and "secret" in names[:2] and self.before(k) in VALUE_MARKS
+            if f == "digits" and not self.part[k] and "secret" not in names[:1] and self.after(k) in ("=", ":"):
+                atoms.append(t)  # a name, whose value follows
+                continue
+            if f in STRONG or f == "keyblock" or (self.part[k] == "password" or after_auth or joined) and f not in ("placeholder", "scheme") or named:
                 self.chain.append(k)
-                self.names[k] = ([name_class(x) for x in atoms[:-4:-1]] + ["none"] * 3)[:3]
+                self.names[k] = names
             if ATOM.match(t) and not TYPE_WORD.match(t):
                 atoms.append(t)
 
@@ -248,13 +275,23 @@ class Line:
     def features(self, k: int) -> list[str]:
         t, f, names = self.toks[k], self.fams[k], self.names[k]
         n1, n2, n3 = names
+        if f == "placeholder":
+            return [f"f={f}"]
         size = len(t)
+        kinds = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "o" for c in t]
+        # How often the kind of character changes: seldom in words and names, often in random matter.
+        turns = min(5, int(10 * sum(a != b and a + b != "ul" for a, b in zip(kinds, kinds[1:], strict=False)) / size)) if size > 7 else 9
         where = self.part[k] or ("alone" if self.alone[k] else "quoted" if self.quoted[k] else "comment" if self.comment else "bare")
         out = [
             f"f={f}", f"f={f}|w={where}", f"f={f}|n1={n1}", f"f={f}|n1={n1}|n2={n2}", f"f={f}|n1={n1}|w={where}", f"n1={n1}", f"n2={n2}|f={f}", f"n3={n3}|f={f}",
             f"len={min(size // 4, 12)}|f={f}", f"b={self.before(k)[:3]}", f"a={self.after(k)[:3]}", f"b={self.before(k)[:3]}|f={f}", f"a={self.after(k)[:3]}|f={f}",
+            f"n1={n1}|w={where}", f"n1={n1}|n2={n2}|w={where}", f"t={turns}|w={where}", f"t={turns}|n1={n1}", f"t={turns}", f"s={min(t.count('/'), 2)}|t={turns}",
             f"c={self.comment}|f={f}", f"w={where}", f"j={self.joins(k)}", f"j={self.joins(k)}|f={f}", f"pf={self.fams[k - 1] if k else 'start'}|f={f}",
         ]
+        if f in ("word", "path"):  # told by the names before them and where they stand, not by what they are
+            out = [x for x in out if f"f={f}" not in x or "n1" in x]
+        if n1 == "plain" and self.alone[k]:  # a name that says nothing neither speaks for nor against
+            out = [x for x in out if f"n1={n1}" not in x]
         if n1 == "auth":
             text = decoded(t) if self.toks[k - 1].lower() == "basic" else t
             out.append(f"auth={'bad' if text is None or PLACEHOLDER.search(text.split(':', 1)[-1]) else 'good'}|long={size >= 8}")
@@ -263,36 +300,34 @@ class Line:
         return out
 
     def cues(self) -> list[int]:
-        """Labels of the chain by the plain cases."""
+        """Labels of the sure places of the chain, OPEN for all others."""
         out: list[int] = []
         for k in self.chain:
             t, f, names = self.toks[k], self.fams[k], self.names[k]
-            how = self.joins(k)
             strong = f in STRONG
-            if how in ("plus", "glued") and out[-1] != O:
-                out.append(I)
-                continue
-            if f == "keyblock" or self.part[k] == "password":
-                hit = True
+            if self.joins(k) in ("plus", "glued") and out[-1] != O:
+                out.append(OPEN if out[-1] == OPEN else I)
+            elif f == "placeholder" or self.comment and " must " in self.text:
+                out.append(O)
+            elif f == "keyblock" or self.part[k] == "password":
+                out.append(B)
             elif self.part[k] in ("user", "host") and f != "known":
-                hit = False
+                out.append(O)
             elif names[0] == "auth":
                 text = decoded(t) if self.before(k).lower() == "basic" else t
-                hit = (strong or f == "path") and not (text is not None and PLACEHOLDER.search(text.split(":", 1)[-1]))
+                out.append(B if (strong or f == "path") and not (text is not None and PLACEHOLDER.search(text.split(":", 1)[-1])) else O)
             elif f in ("known", "knownpart"):
-                hit = True
+                out.append(B)
             elif names[0] in ("reference", "digest", "placeholder") or f == "uuid":
-                hit = False
+                out.append(O)
             elif strong and names[0] == "secret":
-                hit = True
-            elif strong and "secret" in names[:2] and names[0] == "plain" and (self.alone[k] or self.comment):
-                hit = True
-            elif f in ("long", "letters") and self.alone[k] and len(t) <= 60 and names[0] == "plain" and not set(t) & set("+/="):
-                hit = True
+                out.append(B)
+            elif not strong and (SECRET_NAME.search(t) or not self.quoted[k] and any(c in self.text for c in "(){};")):
+                out.append(O)  # a name, not a value
+            elif strong and "secret" not in names and "-u" not in self.toks and not (self.alone[k] and f in ("long", "letters")):
+                out.append(O)
             else:
-                command = self.comment or "-u" in self.toks
-                hit = strong and command and self.before(k) in (":", "/") and "secret" in names and f in ("symbols", "mixed", "long")
-            out.append(B if hit and not (self.comment and " must " in self.text) else O)
+                out.append(OPEN)
         return out
 
 
@@ -301,15 +336,26 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+def no_step() -> np.ndarray:
+    step = np.zeros((3, 3))
+    step[O, I] = BANNED
+    return step
+
+
+def cell(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % SPACE
+
+
 class Field:
-    """A linear-chain conditional random field over string features."""
+    """A linear-chain conditional random field over hashed string features."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, step: np.ndarray):
-        self.index, self.weights, self.step = index, weights, step
+    def __init__(self, weights: np.ndarray | None = None, step: np.ndarray | None = None):
+        self.weights = np.zeros((SPACE, 3)) if weights is None else weights
+        self.step = no_step() if step is None else step
 
-    def rows(self, line: Line) -> list[list[int]]:
-        # The last row of the weights is kept at zero and stands for features never seen.
-        return [[self.index.get(f, -1) for f in line.features(k)] for k in line.chain]
+    @staticmethod
+    def rows(line: Line) -> list[list[int]]:
+        return [[cell(f) for f in line.features(k)] for k in line.chain]
 
     def emissions(self, rows: list[list[int]]) -> np.ndarray:
         flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
@@ -321,6 +367,7 @@ class Field:
         if not line.chain:
             return []
         e = self.emissions(self.rows(line))
+        e[0, I] = BANNED
         at, back = e[0], []
         for row in e[1:]:
             through = at[:, None] + self.step
@@ -332,58 +379,63 @@ class Field:
         return best[::-1]
 
     @classmethod
-    def train(cls, lines: list[str], epochs: int = EPOCHS, seed: int = 7) -> Field:
-        """Maximum likelihood with a small weight decay, by Adam over batches of lines."""
-        parsed = [x for x in map(Line, lines) if x.chain]
-        index: dict[str, int] = {}
+    def train(cls, lines: list[str], start: Field | None = None, epochs: int = EPOCHS, seed: int = 7) -> Field:
+        """Maximum likelihood of the known labels with a small weight decay, by Adam over batches of lines, from ``start`` on."""
         data = []
-        for x in parsed:
-            rows = [[index.setdefault(f, len(index)) for f in x.features(k)] for k in x.chain]
-            data.append((rows, x.cues()))
-        w = np.zeros((len(index) + 1, 3))
-        a = np.zeros((3, 3))
-        moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(a), np.zeros_like(a)]
+        for x in map(Line, lines):
+            labels = x.cues()
+            if any(y != OPEN for y in labels):
+                data.append((cls.rows(x), labels))
+        w, a = (start.weights.copy(), start.step.copy()) if start else (np.zeros((SPACE, 3)), no_step())
+        used = np.unique(np.fromiter((i for rows, _ in data for r in rows for i in r), dtype=np.int64))
+        place = np.zeros(SPACE, dtype=np.int64)
+        place[used] = np.arange(len(used))
+        data = [([[place[i] for i in r] for r in rows], labels) for rows, labels in data]
+        part = w[used]  # only the cells that occur here change
+        moments = [np.zeros_like(part), np.zeros_like(part), np.zeros_like(a), np.zeros_like(a)]
         rng = np.random.default_rng(seed)
         tick = 0
         for _ in range(epochs):
             order = rng.permutation(len(data))
             for lo in range(0, len(order), BATCH):
-                gw, ga = np.zeros_like(w), np.zeros_like(a)
+                gw, ga = np.zeros_like(part), np.zeros_like(a)
                 for k in order[lo : lo + BATCH]:
-                    cls._gradient(data[k], w, a, gw, ga)
+                    cls._gradient(data[k], part, a, gw, ga)
                 tick += 1
-                for p, g, m, v in ((w, gw, moments[0], moments[1]), (a, ga, moments[2], moments[3])):
+                for p, g, m, v in ((part, gw, moments[0], moments[1]), (a, ga, moments[2], moments[3])):
                     g = g / BATCH - 1e-4 * p
                     m *= 0.9
                     m += 0.1 * g
                     v *= 0.999
                     v += 0.001 * g * g
                     p += RATE * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.999**tick)) + 1e-8)
-        w[-1] = 0
-        return cls(index, w, a)
+                a[O, I] = BANNED
+        w[used] = part
+        return cls(w, a)
 
     @staticmethod
     def _gradient(item: tuple, w: np.ndarray, a: np.ndarray, gw: np.ndarray, ga: np.ndarray) -> None:
+        """Adds the features expected given the known labels, less those expected without them."""
         rows, labels = item
         flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
         sizes = [len(r) for r in rows]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        e = np.add.reduceat(w[flat], starts, axis=0)
-        n = len(e)
-        fwd, bwd = np.empty_like(e), np.zeros_like(e)
-        fwd[0] = e[0]
-        for t in range(1, n):
-            fwd[t] = log_sum(fwd[t - 1][:, None] + a, 0) + e[t]
-        for t in range(n - 2, -1, -1):
-            bwd[t] = log_sum(a + (e[t + 1] + bwd[t + 1])[None, :], 1)
-        z = log_sum(fwd[-1], 0)
-        delta = -np.exp(fwd + bwd - z)
-        delta[np.arange(n), labels] += 1
+        e = np.add.reduceat(w[flat], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        e[0, I] = BANNED
+        known = np.where([[y in (OPEN, s) for s in range(3)] for y in labels], e, 2 * BANNED)
+        delta = np.zeros_like(e)
+        for sign, x in ((1, known), (-1, e)):
+            n = len(x)
+            fwd, bwd = np.empty_like(x), np.zeros_like(x)
+            fwd[0] = x[0]
+            for t in range(1, n):
+                fwd[t] = log_sum(fwd[t - 1][:, None] + a, 0) + x[t]
+            for t in range(n - 2, -1, -1):
+                bwd[t] = log_sum(a + (x[t + 1] + bwd[t + 1])[None, :], 1)
+            z = log_sum(fwd[-1], 0)
+            delta += sign * np.exp(fwd + bwd - z)
+            if n > 1:
+                ga += sign * np.exp(fwd[:-1, :, None] + a[None] + (x[1:] + bwd[1:])[:, None, :] - z).sum(0)
         np.add.at(gw, flat, np.repeat(delta, sizes, axis=0))
-        if n > 1:
-            pair = np.exp(fwd[:-1, :, None] + a[None] + (e[1:] + bwd[1:])[:, None, :] - z)
-            ga -= pair.sum(0)
-            np.add.at(ga, (labels[:-1], labels[1:]), 1)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Character spans of the credentials of a line; parts of a split literal are one span each."""
@@ -514,20 +566,23 @@ def blank(snippet: str, known: dict[str, Spans]) -> str:
     return "\n".join(lines)
 
 
-def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, snippet_line, line: lines of the current version of each finding that could hold a credential.
+def current_snippets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text_id) of the current version of each finding, and (text_id, code_snippet) of each distinct snippet.
 
-    Versions are settled on (id, time) alone, and only candidate lines are shuffled, so the
-    snippets themselves never are. A null snippet has no lines; equal rows count once.
+    Versions are settled on (id, time, text_id) alone; snippets are folded where they are read, so a text goes over the
+    network once for each task that holds it. Of two versions of one time both count. A null snippet has a null text_id.
     """
-    raw = table(spark, sf_dir, "findings").select(clean_id("id").alias("id"), "ingested_at", "code_snippet")
+    raw = table(spark, sf_dir, "findings").select(clean_id("id").alias("id"), "ingested_at", F.md5("code_snippet").alias("text_id"), "code_snippet")
     last = raw.groupBy("id").agg(F.max("ingested_at").alias("ingested_at"))
-    lines = (
-        raw.select("id", "ingested_at", F.posexplode(F.split("code_snippet", "\n")).alias("pos", "line"))
-        .select("id", "ingested_at", (F.col("pos") + 1).alias("snippet_line"), clean_line(F.col("line")).alias("line"))
-        .filter(F.col("line").rlike(CANDIDATE))
-    )
-    return lines.join(last, ["id", "ingested_at"], "left_semi").drop("ingested_at").distinct()
+    rows = raw.select("id", "ingested_at", "text_id").join(last, ["id", "ingested_at"], "left_semi").select("id", "text_id").distinct()
+    texts = raw.filter(F.col("code_snippet").isNotNull()).groupBy("text_id").agg(F.first("code_snippet").alias("code_snippet"))
+    return rows, texts
+
+
+def candidate_lines(texts: DataFrame) -> DataFrame:
+    """text_id, snippet_line, line: lines of the snippets that could hold a credential."""
+    lines = texts.select("text_id", F.posexplode(F.split("code_snippet", "\n")).alias("pos", "line"))
+    return lines.select("text_id", (F.col("pos") + 1).alias("snippet_line"), clean_line(F.col("line")).alias("line")).filter(F.col("line").rlike(CANDIDATE))
 
 
 def clean_line(line: Column) -> Column:
@@ -535,15 +590,36 @@ def clean_line(line: Column) -> Column:
 
 
 def fit(lines: DataFrame, bound: int = TRAIN_LINES) -> Field:
-    """Train on at most ``bound`` distinct lines, the first by hash.
+    """Train on about ``bound`` distinct lines, those in a range of hashes, in ``PARTS`` tasks.
 
-    A hash range that holds about twice the bound is cut out before the lines are ordered,
-    so no task sends more than its part of it.
+    Each part fits the field on its lines from the average of the round before; only weights reach the driver.
     """
     many = max(1, lines.agg(F.approx_count_distinct("line")).first()[0])
-    part = min(1.0, 2.0 * bound / many)
-    low = lines.select("line", F.xxhash64("line").alias("h")).filter(F.col("h") <= int(-(2**63) + part * (2**64 - 1)) if part < 1 else F.lit(True))
-    return Field.train([r["line"] for r in low.distinct().orderBy("h", "line").limit(bound).collect()])
+    part = min(1.0, bound / many)
+    low = F.xxhash64("line") <= int(-(2**63) + part * (2**64 - 1)) if part < 1 else F.lit(True)
+    sample = materialise(lines.filter(low).select("line").distinct().repartition(PARTS, "line").sortWithinPartitions("line"), "training-lines")
+    field = Field()
+    for turn in range(ROUNDS):
+        shared = lines.sparkSession.sparkContext.broadcast(field)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, turn=turn) -> Iterator[pd.DataFrame]:
+            mine = [x for pdf in batches for x in pdf["line"]]  # a part of the bounded sample
+            if mine:
+                own = Field.train(mine, shared.value, seed=7 + turn)
+                some = np.flatnonzero(own.weights.any(1))
+                cells = np.concatenate([some, SPACE + np.arange(3)])
+                yield pd.DataFrame(np.column_stack([cells, np.concatenate([own.weights[some], own.step])]), columns=["cell", "o", "b", "i"]).astype({"cell": "int32"})
+
+        fitted = sample.mapInPandas(run, "cell int, o double, b double, i double")
+        sums = fitted.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "obi"], F.count(F.lit(1)).alias("n")).toPandas()
+        weights, step = np.zeros((SPACE, 3)), np.zeros((3, 3))
+        # A cell is averaged over the parts that know it, so rare features keep their weight.
+        mean = sums[["o", "b", "i"]].to_numpy() / sums[["n"]].to_numpy()
+        at = sums["cell"].to_numpy()
+        weights[at[at < SPACE]] = mean[at < SPACE]
+        step[at[at >= SPACE] - SPACE] = mean[at >= SPACE]
+        field = Field(weights, step)
+    return field
 
 
 def label_lines(lines: DataFrame, field: Field) -> DataFrame:
@@ -558,18 +634,16 @@ def label_lines(lines: DataFrame, field: Field) -> DataFrame:
     return lines.select("line").distinct().mapInPandas(run, "line string, starts array<int>, ends array<int>")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, parts: the labelled lines (snippet_line, line, starts, ends) of each current finding that has any."""
-    lines = materialise(candidate_lines(spark, sf_dir), "candidate-lines")
+def labelled(texts: DataFrame) -> DataFrame:
+    """text_id, parts: the labelled lines (snippet_line, line, starts, ends) of each snippet that has any."""
+    lines = materialise(candidate_lines(texts), "candidate-lines")
     found = lines.join(label_lines(lines, fit(lines)), "line")
-    return found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("snippet_line", "line", "starts", "ends"))).alias("parts"))
+    return found.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("snippet_line", "line", "starts", "ends"))).alias("parts"))
 
 
 def beginnings(parts: list) -> list[int]:
     """Numbers of the lines on which a credential begins."""
     at = [p["snippet_line"] for p in parts]
-    if len(set(at)) < len(at):  # two versions of one time
-        return sorted({p["snippet_line"] for p in parts if len(p["starts"])})
     lines, spans = [None] * max(at), [[] for _ in range(max(at))]
     for p in parts:
         lines[p["snippet_line"] - 1], spans[p["snippet_line"] - 1] = p["line"], list(zip(p["starts"], p["ends"], strict=True))
@@ -578,16 +652,17 @@ def beginnings(parts: list) -> list[int]:
 
 def find_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, snippet_line: each line of a current finding on which a credential begins."""
+    rows, texts = current_snippets(spark, sf_dir)
     begin = F.pandas_udf(lambda parts: parts.map(beginnings), "array<int>")
-    return labelled(spark, sf_dir).select("id", F.explode(begin("parts")).alias("snippet_line"))
+    found = labelled(texts).select("text_id", begin("parts").alias("at"))
+    return rows.join(found, "text_id").select("id", F.explode("at").alias("snippet_line")).distinct()
 
 
 def redacted_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, code_snippet: every current finding, its credentials blanked where they stand, all else unchanged."""
-    raw = table(spark, sf_dir, "findings").select(clean_id("id").alias("id"), "ingested_at", "code_snippet")
-    last = raw.groupBy("id").agg(F.max("ingested_at").alias("ingested_at"))
-    parts = last.join(labelled(spark, sf_dir), "id")
-    rows = raw.join(last, ["id", "ingested_at"], "left_semi").distinct().join(parts, ["id", "ingested_at"], "left")
+    rows, texts = current_snippets(spark, sf_dir)
+    texts = materialise(texts, "snippets")
+    joined = texts.join(labelled(texts), "text_id", "left")
 
     def run(snippets: pd.Series, parts: pd.Series) -> pd.Series:
         none: list = []
@@ -598,7 +673,8 @@ def redacted_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     touched = F.col("parts").isNotNull() | F.col("code_snippet").contains("-----END")
     done = F.pandas_udf(run, "string")(F.when(touched, F.col("code_snippet")), F.col("parts"))
-    return rows.select("id", F.when(touched, done).otherwise(F.col("code_snippet")).alias("code_snippet"))
+    blanked = joined.select("text_id", F.when(touched, done).otherwise(F.col("code_snippet")).alias("code_snippet"))
+    return rows.join(blanked, "text_id", "left").select("id", "code_snippet")
 
 
 def redact(line: Column, starts: Column, ends: Column) -> Column:
