@@ -50,7 +50,29 @@ def test_kinds_of_files(spark):
     got = classify(spark, files, rows)
     assert got == {
         "r/a.x.py": ("generated", "declared"), "r/lib/d/z.c": ("vendored", "declared"), "q/min.js": ("minified", "content"), "q/data.c": ("data", "content"), "q/ban.py": ("generated", "content"),
-        "q/vendor/u/a.go": ("vendored", "path"), "q/snip.js": ("minified", "content"), "q/x_pb2.py": ("generated", "path"),
+        "q/vendor/u/a.go": ("vendored", "seed"), "q/snip.js": ("minified", "content"), "q/x_pb2.py": ("generated", "seed"),
+    }
+
+
+def test_attribute_lines(spark):
+    files = [("r/.gitattributes", '[!a]x.c linguist-generated\n"my file.c" linguist-vendored\nb[^c].h linguist-generated\nk.c ' + "x " * 60 + "linguist-generated\n*.gen.ts -linguist-vendored\nno.pb.go -linguist-generated\n")]
+    paths = ["r/ax.c", "r/bx.c", "r/my file.c", "r/bc.h", "r/bd.h", "r/k.c", "r/q.gen.ts", "r/no.pb.go", "r/vendor/no.pb.go"]
+    got = classify(spark, files, [(p, "x = 1", 40) for p in paths])
+    assert got == {
+        "r/bx.c": ("generated", "declared"), "r/my file.c": ("vendored", "declared"), "r/bd.h": ("generated", "declared"), "r/k.c": ("generated", "declared"),
+        "r/q.gen.ts": ("generated", "seed"), "r/vendor/no.pb.go": ("vendored", "seed"),
+    }
+
+
+def test_headers_and_libraries(spark):
+    licence = "\n".join(["# a line of the licence"] * 30)
+    files = [(f"r{k}/z{k}.js", f"/*! Copied from tinylib 1.{k}.0, see upstream for changes */\nf()") for k in range(4)] + [
+        ("q/a.py", "# openlib 2.1.0 - https://openlib.invalid - released under the BSD licence\nx = 1"), ("q/b.py", licence + "\n# Code generated by gen. DO NOT EDIT.\nx = 1"),
+        ("q/c.py", "# Copyright 2021 q maintainers. All rights reserved.\n# version 1.2 of our API\nx = 1"), ("q/d.js", "7" * 60_000 + "x"),
+    ]
+    got = classify(spark, files, [(p, "y", 400) for p, _ in files] + [("q/src/tinylib/e.js", "y", 400), ("q/src/openlib/e.js", "y", 400)])
+    assert got == {f"r{k}/z{k}.js": ("vendored", "content") for k in range(4)} | {
+        "q/a.py": ("vendored", "content"), "q/b.py": ("generated", "content"), "q/src/tinylib/e.js": ("vendored", "mined"), "q/d.js": ("minified", "content"),
     }
 
 
