@@ -70,3 +70,22 @@ def test_languages(spark):
 def test_regex_complexity(spark):
     got = many(spark, ["(a+)+", "^[a-z]{3,10}$", "(ab|ac)x", r"\d+\w*x?"], redos.complexity)
     assert got == ["catastrophic", "linear", "exponential", "linear"]
+
+
+def test_nested_quantifiers_at_any_depth(spark):
+    cases = {"(a+)+": True, "((ab)+c)*": True, "(?:x(?:y|z*)w)+": True, "(a{2,5}b)+": True, "(a{3})+": False, "(ra!)+": False, "(ab)+c+": False, r"(\+a)+": False, "([+*]a)+": False, "(a|b)?": False, "": False}
+    assert many(spark, list(cases), redos.nested_quantifiers) == list(cases.values())
+    shared = {"(ab|ac)": True, r"(\d|\w)": False, "(a|b)": False, "([ab]x|[ab]y)": True, "(?:foo|far)z": True, "((ab|ac)|x)": True, "(|a|b)": False}
+    assert many(spark, list(shared), redos.common_prefix) == list(shared.values())
+
+
+def test_worded_detectors_read_values_of_named_settings():
+    import re
+
+    from tidescan.sources.detectors import DETECTORS
+
+    hit = lambda line: {n for n, _, rx in DETECTORS if re.search(rx, line)}
+    assert len({n for n, _, _ in DETECTORS}) == len(DETECTORS)
+    assert hit('password = "abcdefgh1"') == {"generic_password"} and hit("'client_secret' => 'abcdefgh1'") >= {"generic_secret"}
+    assert "azure_storage_key" in hit("AccountKey=" + "a" * 86 + "==") and "heroku_api_key" in hit("HEROKU_API_KEY: 01234567-89ab-cdef-0123-456789abcdef")
+    assert hit('password = getpass()') == set() and hit('jwt-secret: "short"') == set()

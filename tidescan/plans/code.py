@@ -85,9 +85,8 @@ def regex_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regex_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = excerpt_lines(spark, sf_dir).select(F.col("file_path").alias("path"), L.detect_language(F.col("file_path")).alias("language"), F.lit(0).alias("line_no"), "line")
-    found = redos.analyse(redos.extract_patterns(lines))
-    return found.select("path", "pattern", "complexity", "severity")
+    """Expressions of the source files that can backtrack badly, with the line each stands on."""
+    return redos.findings(file_lines(spark, sf_dir)).select("path", "line_no", "pattern", "complexity", "severity", "description")
 
 
 def route_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,15 +155,24 @@ _ROUTE_CTE = (
     f"CASE WHEN v = '' THEN 'ANY' ELSE regexp_replace(v, '[''\"\\s]', '', 'g') END AS method, framework, code FROM e), "
     f"found AS (SELECT file_path, line, path, method, framework, code FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line, path ORDER BY k, method) AS rn FROM r) WHERE rn = 1)"
 )
-_PLAIN = "regexp_replace(pattern, '\\\\.', 'X', 'g')"
+
+
+def _replaced(text: str, steps: list[tuple[str, str]]) -> str:
+    for a, b in steps:
+        text = f"regexp_replace({text}, {sql.text(a)}, {sql.text(b)}, 'g')"
+    return text
+
+
 _ANALYSED = (
-    f"a AS (SELECT *, regexp_matches({_PLAIN}, '\\([^)]*[*+]\\)[*+?]|\\([^)]*\\{{[^}}]+\\}}\\)[*+?]') AS nested, "
-    f"len(list_filter(list_transform(regexp_extract_all({_PLAIN}, '\\(([^)]+)\\)', 1), lambda g: list_transform(list_filter(string_split(g, '|'), lambda x: x <> ''), lambda x: x[1])), "
+    f"sk AS (SELECT pattern, {_replaced('pattern', redos.ATOMS)} AS s FROM lits), "
+    f"folded AS (SELECT pattern, list_reduce(list_prepend(s, list_transform(range(length(s) - length(replace(s, '(', '')) + 1), lambda x: '')), lambda acc, x: {_replaced('acc', redos.FOLDS)}) AS s FROM sk), "
+    f"a AS (SELECT *, contains(s, '!') AS nested, "
+    f"len(list_filter(list_transform(regexp_extract_all(pattern, {sql.text(redos.FLAT_GROUP)}, 1), lambda g: list_transform(list_filter(string_split(g, '|'), lambda x: x <> ''), lambda x: regexp_extract(x, {sql.text(redos.FIRST_ATOM)}, 1))), "
     f"lambda f: len(list_distinct(f)) < len(f))) > 0 AS shared, "
     f"len(regexp_extract_all(regexp_replace(pattern, '\\\\.[*+?]', '', 'g'), '[*+?]|\\{{\\d+,\\d*\\}}', 0)) AS quantifiers, "
-    f"pattern LIKE '^%' AND pattern LIKE '%$' AS anchored FROM lits), "
-    f"s AS (SELECT *, CASE WHEN nested THEN 'catastrophic' WHEN shared THEN 'exponential' WHEN quantifiers >= 3 THEN 'polynomial' ELSE 'linear' END AS complexity FROM a), "
-    f"t AS (SELECT *, CASE WHEN anchored THEN 'info' WHEN complexity = 'catastrophic' THEN 'high' WHEN complexity = 'exponential' THEN 'medium' WHEN complexity = 'polynomial' THEN 'low' ELSE 'info' END AS severity FROM s)"
+    f"pattern LIKE '^%' AND pattern LIKE '%$' AS anchored FROM folded), "
+    f"rated AS (SELECT *, CASE WHEN nested THEN 'catastrophic' WHEN shared THEN 'exponential' WHEN quantifiers >= 3 THEN 'polynomial' ELSE 'linear' END AS complexity FROM a), "
+    f"t AS (SELECT *, CASE WHEN anchored THEN 'info' WHEN complexity = 'catastrophic' THEN 'high' WHEN complexity = 'exponential' THEN 'medium' WHEN complexity = 'polynomial' THEN 'low' ELSE 'info' END AS severity FROM rated)"
 )
 
 ORACLES = {
