@@ -26,6 +26,21 @@ def test_topn_matches_sorting(spark, block):
     assert {(r.g, r.s, r.id) for r in got.collect()} == want
 
 
+def test_most_row_groups_of_hot_groups_are_skipped(spark):
+    rng = random.Random(2)
+    rows = [("hot", rng.randint(0, 10_000), f"h{k}") for k in range(6000)] + [("tied", 5, f"t{k:05}") for k in range(3000)] + [(f"g{k}", k, f"x{k}") for k in range(300)]
+    path = T.cluster(spark.createDataFrame(rows, "g string, s int, id string"), "g", "s", "id", block_rows=50)
+    marked = T.first_wave(T.block_statistics(spark.read.parquet(path), "g", "s", "id"), 5)
+    total, first = marked.count(), marked.filter("first").count()
+    assert total >= 186 and first <= 20
+    for n in (5, 60):  # one layout, asked twice
+        got = {(r.g, r.id) for r in T.top_n_stored(spark, path, "g", "s", "id", n).collect()}
+        want = {(r[0], r[2]) for g in {r[0] for r in rows} for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:n]}
+        assert got == want
+    bar = spark.createDataFrame([("hot", 9_990, "h1"), ("tied", 5, "t00004")], "g string, bar int, bar_tie string")
+    assert T.second_wave(marked, bar).count() <= 1
+
+
 def test_topn_empty(spark):
     assert T.top_n(spark.createDataFrame([], "g string, s int, id string"), "g", "s", "id", 3).count() == 0
 
