@@ -287,14 +287,14 @@ def test_leaks(spark):
     passage = rng.sample(words, 60)
     other = rng.sample(words, 60)
     text = lambda ws: " ".join(ws)
-    items = [(1, "Do it now. " + text(passage), "Do it now."), (2, text(other), None), (3, None, None), (4, "short", None)]
+    items = [(1, "Do it now. " + text(passage), "Do it now."), (2, text(other), None), (3, None, None), (4, "short", None), (5, "One two three four five six seven.", None)]
     swapped = [w if k % 9 else "zz" for k, w in enumerate(passage)]
     docs = [
         (1, "pre **" + text(passage).upper() + "** post"), (2, text(passage[35:]) + " filler " + text(passage[:35])), (3, text(swapped)), (4, "Do it now. " + text(passage[:12])), (5, None), (6, ""), (7, text(rng.sample(words, 300))),
-        (8, "<p>" + "</b>\n<b>".join(other) + "</p>"), (9, text(passage[:20] + ["x"] * 500 + passage[20:40])),
+        (8, "<p>" + "</b>\n<b>".join(other) + "</p>"), (9, text(passage[:20] + ["x"] * 500 + passage[20:40])), (10, "a one, two THREE four five b"),
     ]
     found = L.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string, instruction string"), items_per_set=2)
-    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 2), (9, 1)}
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 2), (9, 1), (10, 5)}
     clean = {r.doc_id: r for r in L.remove_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), found).collect()}
     assert clean[1].text == "pre **** post" and clean[4].removed_chars == 0 and clean[5].text is None
 
@@ -319,6 +319,8 @@ def test_mix_keeps_caps_and_budgets(spark):
     assert 0 <= 9000 - sum(r.tokens * r.uses for r in rows) <= 4 * 90
     assert report["none"].taken == 0 and sum(r.reached_share for r in report.values()) == pytest.approx(1, abs=1e-4)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, M.mix(d, w, budget=9000)[0].collect()))
+    assert sorted(map(tuple, rows)) != sorted(map(tuple, M.mix(d, w, budget=9000, seed=3)[0].collect()))
+    assert all(0 <= r.missed_tokens < 4 * 90 for r in report.values())
 
 
 def test_token_counts_match_the_library(spark):

@@ -159,8 +159,6 @@ class PassageIndex:
         out = []
         for k in owners:
             item, passage = self.items[k]
-            if len(passage) < 2 * NGRAM:
-                continue
             # No chain can cover more than the words the document has at all.
             if np.isin(passage, ids).sum() < SHARE * len(passage):
                 continue
@@ -175,7 +173,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, items_per_set: int = ITEMS_PER
     """(doc_id, item_id, share, starts, ends) of every document that holds at least half of a passage.
 
     ``docs``: doc_id, text. ``items``: item_id, item_text, instruction. A null or blank
-    text or passage, and a passage under ten words, is never part of a leak. The test set is
+    text or passage is never part of a leak, and a passage must cover at least one n-gram of ``NGRAM`` words. The test set is
     collected in sets of at most ``items_per_set`` items; each is broadcast and scanned
     against all documents.
     """

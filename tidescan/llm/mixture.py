@@ -2,8 +2,8 @@
 
 Weights are propagated down a tree of domain, language and source. A leaf can give at most
 its tokens times its repeats; what it cannot give goes to its siblings first and only then
-to the relatives of its ancestors. Every leaf then supplies whole seeded epochs and a
-token prefix of one more. Documents are put in seeded order by range partitions, and
+to the relatives of its ancestors. Every leaf then supplies whole epochs and a token prefix
+of one more, in an order that the seed and the number of that epoch decide. Documents are put in seeded order by range partitions, and
 prefix sums are taken within and across partitions, so a leaf with a third of all
 documents is never in one task. Only one row for each leaf and partition is collected.
 """
@@ -29,6 +29,8 @@ DOMAINS = {
     "forum": "discussion", "issue_threads": "discussion", "review_notes": "discussion", "mail_archive": "discussion",
 }
 TOKENIZER, SEED = "byte_bpe_50k.json", 17
+#: A plan of at most so many leaves is broadcast, a larger one is joined by its keys.
+PLAN_ROWS = 20_000
 
 _LOADED: dict = {}
 
@@ -101,8 +103,8 @@ def budgets(leaves: list[dict], budget: float, levels: tuple[str, ...]) -> list[
 
 
 def seeded_order(docs: DataFrame, leaf: list[str], seed: int = SEED) -> DataFrame:
-    """``docs`` plus ``upto``: the leaf's tokens up to and with each document in seeded order."""
-    h = F.xxhash64(F.lit(seed), "doc_id")
+    """``docs`` (with ``epochs``) plus ``upto``: the leaf's tokens up to and with each document in the order of the epoch that is cut."""
+    h = F.xxhash64(F.lit(seed), F.col("epochs"), "doc_id")
     order = [*leaf, "h", "doc_id"]
     placed = docs.withColumn("h", h).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     placed = materialise(placed, "seeded-order")
@@ -151,7 +153,8 @@ def mix(docs: DataFrame, weights: DataFrame, budget: int | None = None, seed: in
     )
     uses = (F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("uses")
     # The plan has one row for each pair of source and language.
-    chosen = seeded_order(clean, leaf, seed).join(F.broadcast(plan), leaf).select("doc_id", "source", "lang", "tokens", uses).filter(F.col("uses") > 0)
+    planned = clean.join(F.broadcast(plan) if len(rows) <= PLAN_ROWS else plan, leaf)
+    chosen = seeded_order(planned, leaf, seed).select("doc_id", "source", "lang", "tokens", uses).filter(F.col("uses") > 0)
     return chosen, plan
 
 
@@ -164,6 +167,7 @@ def report(chosen: DataFrame, plan: DataFrame) -> DataFrame:
     return full.select(
         "source", F.round("target", 6).alias("target_share"), F.round(F.try_divide(F.col("taken").cast("double"), F.sum("taken").over(every)), 6).alias("reached_share"),
         F.round("budget").cast("bigint").alias("budget"), "held", "taken", "documents", "uses", "max_repeats",
+        (F.round("budget").cast("bigint") - F.col("taken")).alias("missed_tokens"),
     )
 
 
