@@ -121,3 +121,14 @@ def test_stream_of_files(spark, tmp_path):
     spark.createDataFrame([("a.py", "python", 1, False, CODE)], SCHEMA).write.parquet(str(tmp_path / "in"))
     scan_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).filter(F.col("vuln_type") == "sqli").count() == 1
+
+
+def test_data_flow_of_several_names_and_safe_sinks(spark):
+    from tidescan.operators import taint as T
+
+    js = ["const { id, name: n } = req.query;", "db.query(n);", "el.innerHTML = DOMPurify.sanitize(id);", "el.innerHTML = id;", "Object.assign({}, n);"]
+    go = ["q := r.FormValue(\"x\")", "db.Where(\"a = ?\", q).Exec(q)", "db.Exec(q)"]
+    rows = [("a.ts", "typescript", k, s) for k, s in enumerate(js, 1)] + [("b.go", "go", k, s) for k, s in enumerate(go, 1)] + [("c.js", "javascript", 1, None)]
+    facts = T.line_facts(spark.createDataFrame(rows, "path string, language string, line_no int, line string"))
+    got = {(r.path, r.sink_line, r.sink_type, r.var) for r in T.variable_paths(facts).collect()}
+    assert got == {("a.ts", 2, "sqli", "n"), ("a.ts", 4, "xss", "id"), ("a.ts", 5, "proto_pollution", "n"), ("b.go", 3, "sqli", "q")}

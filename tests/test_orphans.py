@@ -34,3 +34,17 @@ def test_waiting_resolving_and_reopening(spark):
 def test_empty(spark):
     assert states(spark, [], []) == {}
     assert states(spark, [ref("a", "x", 1)], []) == {"a": "missing"}
+
+
+def test_a_second_call_goes_on_from_the_stored_state(spark, tmp_path):
+    early = [ref("ok", "p1", 2), ref("missing", "nowhere", 1), ref("late", "p3", 1), ref("gone", "p4", 1)] + [ref(f"hot{k}", "p5", 1) for k in range(50)]
+    later = [ref("new", "p3", 4), ref("new_gone", "p4", 4)]
+    first, second = [parent("p1", 1), parent("p4", 1)], [parent("p3", 3), parent("p5", 4), ("r", "p4", at(1), "2025-03", "2025-03")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    state = str(tmp_path / "state")
+    assert {r.event for r in orphan_events(frame(early, REFS), frame(first, PARENTS), state).collect()} == {"pending"}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "state").rglob("*.parquet")}
+    events = orphan_events(frame(later, REFS), frame(second, PARENTS), state, after="2025-02")
+    assert {r.child_id: r.ref_state for r in current_orphans(events).collect()} == {"missing": "missing", "late": "late", "gone": "deleted", "new_gone": "deleted"} | {f"hot{k}": "late" for k in range(50)}
+    assert {p: p.stat().st_mtime_ns for p in before} == before  # nothing of the earlier periods is written again
+    assert {(r.child_id, r.at) for r in events.filter("event in ('late', 'deleted') and child_id not like 'hot%'").collect()} == {("late", "2025-03"), ("gone", "2025-03"), ("new_gone", "2025-04")}

@@ -1,71 +1,88 @@
 """References to records that do not exist, kept up to date period by period.
 
-The state is keyed by the referenced record. A new reference probes the index of parents
-that arrived so far and waits as pending if it finds none; an arriving parent resolves
-the references that wait for it; a deletion reopens those that had been resolved. Each
-period reads only its own references, the parents it needs and the references that still
-wait, and appends its events as a table in the shared folder.
+The state lies in a folder of tables and outlives the call: the references by period and hash bucket of
+the referenced key, the index of parents (key, arrival, deletion) by period, and the events of each
+period, whose ``pending`` ones are the references that still wait. A new period appends its own
+references and parents; its distinct keys probe the index; its arriving parents resolve the
+references that wait for them; its deletions reopen, and look for earlier references only in the buckets of the
+deleted keys, in periods that delete at all. Nothing else of the history is read or written again.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import clean_id
 from tidescan.session import materialise, scratch_path
 from tidescan.sources.tables import finding_columns, findings_latest, latest_versions, runs_latest, table
 
-STATE = "child_table string, child_id string, parent_table string, ref string, first_seen timestamp_ntz, event string"
+#: Hash buckets of the stored references.
+BUCKETS = 8
+KEYS = ["parent_table", "ref"]
+REFERENCE = ["child_table", "child_id", *KEYS, "first_seen"]
+REFS = "child_table string, child_id string, parent_table string, ref string, first_seen timestamp_ntz"
+PARENTS = "parent_table string, ref string, parent_seen timestamp_ntz, deleted_in string"
+STATE = REFS + ", event string"
 
 
-def advance(refs: DataFrame, parents: DataFrame, waiting: DataFrame | None, period: str) -> DataFrame:
-    """The events of one period: ``pending`` for each reference that waits at its end,
-    ``late`` for each that a later parent resolved, ``deleted`` for each whose parent is deleted.
+def bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int")
 
-    ``refs``: child_table, child_id, parent_table, ref, first_seen, period.
-    ``parents``: parent_table, parent_id, parent_seen, period, deleted_in (null: never).
+
+def advance(state: str, refs: DataFrame, parents: DataFrame, period: str, before: str | None) -> None:
+    """Bring the state from the end of ``before`` to the end of ``period``.
+
+    ``refs`` (REFS) and ``parents`` (parent_table, parent_id, parent_seen, deleted_in) are what arrived in the period;
+    a deletion that falls in it is given by ``deleted_in`` of a parent that arrived in it or earlier. Written are
+    ``pending`` for each reference that waits at its end, ``late`` for each that a later parent resolved, ``deleted``
+    for each whose parent is deleted. A period done again gives the same tables.
     """
-    cols = ["child_table", "child_id", "parent_table", "ref", "first_seen"]
-    index = parents.select(F.col("parent_table").alias("pt"), F.col("parent_id").alias("pid"), "parent_seen", "deleted_in", F.col("period").alias("pp"))
-    on = (F.col("parent_table") == F.col("pt")) & (F.col("ref") == F.col("pid"))
-    event = (
-        F.when(F.col("pid").isNull(), "pending")
-        .when(F.col("deleted_in") <= period, "deleted")
-        .when(F.col("parent_seen") > F.col("first_seen"), "late")
-    )
-    new = refs.filter(F.col("period") == period).select(*cols).join(index.filter(F.col("pp") <= period), on, "left")
-    parts = [new.select(*cols, event.alias("event"))]
-    if waiting is not None:
-        arriving = waiting.select(*cols).join(index.filter(F.col("pp") == period), on, "left")
-        parts.append(arriving.select(*cols, event.alias("event")))
-        dropped = index.filter((F.col("deleted_in") == period) & (F.col("pp") <= period))
-        reopened = refs.filter(F.col("period") < period).select(*cols).join(dropped, on, "left_semi")
-        parts.append(reopened.select(*cols, F.lit("deleted").alias("event")))
-    return reduce(DataFrame.unionByName, parts).filter(F.col("event").isNotNull())
-
-
-def orphan_events(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """All events of all periods: the columns of STATE and ``period``.
-
-    The periods (months of the data) are the only thing collected.
+    spark = refs.sparkSession
+    refs.select(*REFERENCE).withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/refs/period={period}")
+    parents.select("parent_table", F.col("parent_id").alias("ref"), "parent_seen", "deleted_in").write.mode("overwrite").parquet(f"{state}/parents/period={period}")
+    index = spark.read.schema(PARENTS + ", period string").parquet(f"{state}/parents").filter(F.col("period") <= period)
+    stored = spark.read.schema(REFS + ", period string, bucket int").parquet(f"{state}/refs")
+    gone = F.col("deleted_in") <= period
+    event = F.when(F.col("parent_seen").isNull(), "pending").when(gone, "deleted").when(F.col("parent_seen") > F.col("first_seen"), "late")
+
+    new = stored.filter(F.col("period") == period).select(*REFERENCE)
+    # However many references name a parent, the index is probed once for it.
+    asked = index.join(new.select(*KEYS).distinct(), KEYS, "left_semi").groupBy(*KEYS).agg(F.min("parent_seen").alias("parent_seen"), F.min("deleted_in").alias("deleted_in"))
+    parts = [new.join(asked, KEYS, "left").select(*REFERENCE, event.alias("event"))]
+    if before is not None:
+        waiting = spark.read.schema(STATE).parquet(f"{state}/events/at={before}").filter(F.col("event") == "pending").select(*REFERENCE)
+        arrived = index.filter(F.col("period") == period).drop("period")
+        parts.append(waiting.join(arrived, KEYS, "left").select(*REFERENCE, event.alias("event")))
+        dropped = materialise(index.filter(F.col("deleted_in") == period).select(*KEYS, bucket().alias("bucket")), "orphan-dropped")
+        if not dropped.isEmpty():
+            earlier = stored.filter(F.col("period") < period).join(dropped, ["bucket", *KEYS], "left_semi")
+            parts.append(earlier.select(*REFERENCE, F.lit("deleted").alias("event")))
+    reduce(DataFrame.unionByName, parts).filter(F.col("event").isNotNull()).write.mode("overwrite").parquet(f"{state}/events/at={period}")
+
+
+def orphan_events(refs: DataFrame, parents: DataFrame, state: str | None = None, after: str | None = None) -> DataFrame:
+    """All events of all periods: the columns of STATE and ``at``.
+
+    ``refs``: REFS and ``period``. ``parents``: parent_table, parent_id, parent_seen, period, deleted_in (null: never).
+    With ``state``, the folder of an earlier call whose last period was ``after``, only later periods are added to it.
+    The periods (months of the data) are the only thing collected. A deletion that becomes
+    known later comes as another row of the parent, in the period in which it is deleted.
     """
     spark = refs.sparkSession
-    refs = materialise(refs, "orphan-refs", ("period",))
+    refs = materialise(refs.select(*REFERENCE, "period"), "orphan-refs", ("period",))
     parents = materialise(parents, "orphan-parents", ("period",))
     # Only a handful of distinct months come to the driver, never rows.
     months = sorted(r[0] for r in refs.select("period").union(parents.select("period")).union(parents.select("deleted_in")).distinct().collect() if r[0])
-    root = scratch_path(spark, "orphan-state")
-    waiting = None
-    for month in months:
-        here = f"{root}/at={month}"
-        advance(refs, parents, waiting, month).write.mode("overwrite").parquet(here)
-        waiting = spark.read.schema(STATE).parquet(here).filter(F.col("event") == "pending")
-    if not months:
+    state = state or scratch_path(spark, "orphan-state")
+    for month in (m for m in months if after is None or m > after):
+        advance(state, refs.filter(F.col("period") == month), parents.filter(F.col("period") == month), month, after)
+        after = month
+    if after is None:
         return spark.createDataFrame([], STATE + ", at string")
-    return spark.read.schema(STATE + ", at string").parquet(root)
+    return spark.read.schema(STATE + ", at string").parquet(f"{state}/events")
 
 
 def current_orphans(events: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from tidescan.functions.text import alternation, tokens
 from tidescan.session import materialise
 
 ASSIGN = r"^\s*(?:[\w<>\[\].]+\s+)*[$@]{0,2}(\w+)(?:\s*:\s*\w+)?\s*:?=\s*([^=>].*)$"
+#: Several names taken out of one value.
+DESTRUCT = r"^\s*(?:(?:const|let|var)\s+)?[\[{]([^\]}=]*)[\]}]\s*=\s*([^=>].*)$"
 # Where values from outside enter, by language.
 SOURCES = {
     "python": [r"request\.(args|form|json|values|cookies|headers|data|files|GET|POST|params)", r"\binput\s*\(", r"sys\.argv", r"os\.environ"],
@@ -32,13 +34,13 @@ SOURCES = {
 }
 # Where they do harm, by language and type.
 SINKS = {
-    "python": {"sqli": r"\b(execute|executemany|raw|RawSQL)\s*\(", "cmdi": r"\bos\.(system|popen)\s*\(|subprocess\.\w+\s*\(", "path_traversal": r"\b(open|send_file)\s*\(|shutil\.\w+\s*\(", "ssrf": r"\b(requests|httpx)\.\w+\s*\(|urlopen\s*\(", "deserialization": r"pickle\.loads?\s*\(|yaml\.load\s*\(", "ssti": r"render_template_string\s*\(", "open_redirect": r"\bredirect\s*\("},
-    "javascript": {"xss": r"\.(innerHTML|outerHTML)\s*=|document\.write\s*\(|insertAdjacentHTML\s*\(", "eval": r"\beval\s*\(|new\s+Function\s*\(", "sqli": r"\.(query|raw)\s*\(|\bdb\.run\s*\(", "cmdi": r"\bexec(Sync)?\s*\(|\.spawn(Sync)?\s*\(", "path_traversal": r"fs\.\w+\s*\(|path\.join\s*\(|sendFile\s*\(", "ssrf": r"\bfetch\s*\(|axios\.\w+\s*\(|https?\.(get|request)\s*\(", "open_redirect": r"res\.redirect\s*\(|location(\.href)?\s*="},
+    "python": {"sqli": r"\b(execute|executemany|raw|RawSQL)\s*\(", "cmdi": r"\bos\.(system|popen)\s*\(|subprocess\.\w+\s*\(", "path_traversal": r"\b(open|send_file)\s*\(|shutil\.\w+\s*\(", "ssrf": r"\b(requests|httpx)\.\w+\s*\(|urlopen\s*\(", "deserialization": r"pickle\.loads?\s*\(|yaml\.load\s*\(", "ssti": r"render_template_string\s*\(", "open_redirect": r"\bredirect\s*\(", "xss": r"\b(Markup|mark_safe)\s*\("},
+    "javascript": {"xss": r"\.(innerHTML|outerHTML)\s*=|document\.write\s*\(|insertAdjacentHTML\s*\(", "eval": r"\beval\s*\(|new\s+Function\s*\(", "sqli": r"\.(query|raw)\s*\(|\bdb\.run\s*\(", "cmdi": r"\bexec(Sync)?\s*\(|\.spawn(Sync)?\s*\(", "path_traversal": r"fs\.\w+\s*\(|path\.join\s*\(|sendFile\s*\(", "ssrf": r"\bfetch\s*\(|axios\.\w+\s*\(|https?\.(get|request)\s*\(", "open_redirect": r"res\.redirect\s*\(|location(\.href)?\s*=", "proto_pollution": r"Object\.assign\s*\(|\b_\.(merge|defaultsDeep|set)\s*\(|\[\s*\w+\s*\]\s*\[\s*\w+\s*\]\s*="},
     "php": {"sqli": r"(mysqli?_query|pg_query|->query|->exec)\s*\(", "cmdi": r"\b(system|exec|shell_exec|passthru|popen)\s*\(", "xss": r"\b(echo|print|printf)\b", "path_traversal": r"\b(include|require)(_once)?\b|\b(fopen|file_get_contents|readfile|unlink)\s*\("},
-    "ruby": {"sqli": r"\.(where|find_by_sql|execute|order)\b", "cmdi": r"\b(system|exec|spawn)\b|IO\.popen|`", "xss": r"\.html_safe|\braw\b", "path_traversal": r"\bFile\.\w+|send_file", "deserialization": r"Marshal\.load|YAML\.load", "open_redirect": r"redirect_to"},
-    "csharp": {"sqli": r"SqlCommand\s*\(|ExecuteSql\w+\s*\(|FromSqlRaw\s*\(|CommandText\s*=", "cmdi": r"Process\.Start\s*\(", "path_traversal": r"\bFile\.\w+\s*\(|Path\.Combine\s*\(", "deserialization": r"\.Deserialize\s*\(", "open_redirect": r"\bRedirect\s*\(", "xss": r"Html\.Raw\s*\(|Response\.Write\s*\("},
-    "go": {"sqli": r"\.(Query|QueryRow|Exec|Raw)\w*\s*\(", "cmdi": r"exec\.Command\w*\s*\(|syscall\.Exec\s*\(", "ssrf": r"\b(http|client)\.(Get|Post|Head|NewRequest|Do)\s*\(", "path_traversal": r"os\.(Open|ReadFile|Create)\s*\(|filepath\.Join\s*\(", "xss": r"fmt\.Fprintf?\s*\(\s*w|w\.Write\s*\(|template\.HTML\s*\("},
-    "java": {"sqli": r"\.(executeQuery|executeUpdate|execute|createQuery|createNativeQuery)\s*\(", "cmdi": r"\.exec\s*\(|ProcessBuilder\s*\(", "path_traversal": r"new\s+(File\w*)\s*\(|Paths\.get\s*\(", "xxe": r"\.parse\s*\(|saxReader\.read\s*\(", "deserialization": r"\.readObject\s*\(|xstream\.fromXML\s*\(|\.readValue\s*\(", "ssrf": r"new\s+URL\s*\(", "xss": r"getWriter\(\)\.\w+\s*\("},
+    "ruby": {"sqli": r"\.(where|find_by_sql|execute|order)\b", "cmdi": r"\b(system|exec|spawn)\b|IO\.popen|`", "xss": r"\.html_safe|\braw\b", "path_traversal": r"\bFile\.\w+|send_file", "deserialization": r"Marshal\.load|YAML\.load", "open_redirect": r"redirect_to", "ssrf": r"Net::HTTP\.\w+|\b(HTTParty|RestClient|Faraday|URI)\.(get|post|put|open|new)\b"},
+    "csharp": {"sqli": r"SqlCommand\s*\(|ExecuteSql\w+\s*\(|FromSqlRaw\s*\(|CommandText\s*=", "cmdi": r"Process\.Start\s*\(", "path_traversal": r"\bFile\.\w+\s*\(|Path\.Combine\s*\(", "deserialization": r"\.Deserialize\s*\(", "open_redirect": r"\bRedirect\s*\(", "xss": r"Html\.Raw\s*\(|Response\.Write\s*\(", "ssrf": r"\.(GetAsync|PostAsync|GetStringAsync|DownloadString)\s*\(|WebRequest\.Create\s*\(", "xxe": r"\.LoadXml\s*\(|XmlReader\.Create\s*\(|new\s+XmlTextReader\s*\("},
+    "go": {"sqli": r"\.(Query|QueryRow|Exec|Raw)\w*\s*\(", "cmdi": r"exec\.Command\w*\s*\(|syscall\.Exec\s*\(", "ssrf": r"\b(http|client)\.(Get|Post|Head|NewRequest|Do)\s*\(", "path_traversal": r"os\.(Open|ReadFile|Create)\s*\(|filepath\.Join\s*\(", "xss": r"fmt\.Fprintf?\s*\(\s*w|w\.Write\s*\(|template\.HTML\s*\(", "ssti": r"template\.(New|Must)\s*\(.*\.Parse\s*\("},
+    "java": {"sqli": r"\.(executeQuery|executeUpdate|execute|createQuery|createNativeQuery)\s*\(", "cmdi": r"\.exec\s*\(|ProcessBuilder\s*\(", "path_traversal": r"new\s+(File\w*)\s*\(|Paths\.get\s*\(", "xxe": r"\.parse\s*\(|saxReader\.read\s*\(", "deserialization": r"\.readObject\s*\(|xstream\.fromXML\s*\(|\.readValue\s*\(", "ssrf": r"new\s+URL\s*\(", "xss": r"getWriter\(\)\.\w+\s*\(", "ssti": r"\.(evaluate|mergeTemplate|parseExpression)\s*\(|new\s+Template\s*\(", "ldap": r"\b(ctx|context|ldapTemplate)\.search\s*\("},
 }
 # Calls that make a value safe; for all types, on the right side of an assignment.
 SANITIZERS = {
@@ -50,6 +52,13 @@ SANITIZERS = {
     "go": r"html\.EscapeString\s*\(|filepath\.Clean\s*\(|url\.QueryEscape\s*\(|strconv\.Atoi\s*\(|\.Prepare\s*\(",
     "java": r"escapeHtml\d?\s*\(|Encode\.for\w+\s*\(|Integer\.parseInt\s*\(|getCanonicalPath\s*\(|prepareStatement\s*\(|setString\s*\(",
 }
+# Calls that make a value safe for one type of sink, on the sink's own line.
+INLINE = {
+    "php": {"xss": r"htmlspecialchars\s*\(|htmlentities\s*\(|strip_tags\s*\(|urlencode\s*\(", "sqli": r"->prepare\s*\(|real_escape_string\s*\(|intval\s*\(", "path_traversal": r"\bbasename\s*\(|realpath\s*\("},
+    "javascript": {"xss": r"DOMPurify\.sanitize\s*\(|escapeHtml\s*\(|encodeURIComponent\s*\("},
+}
+# Query builders that bind their values. In Java a "+" in the line takes that back.
+BOUND = {"go": r"\.(Where|First|Find|Take|Last)\s*\(", "java": r"setParameter\s*\(|\.createQuery\s*\(\s*\"[^\"]*:\w+|CriteriaBuilder|@Query\s*\("}
 NEAR = 20
 
 
@@ -65,13 +74,26 @@ def _of(language: Column, text: Column, regexes: dict[str, str]) -> Column:
 
 
 def line_facts(lines: DataFrame) -> DataFrame:
-    """path, line_no, target, words (right side), is_source, safe, sinks (array of types), tokens; lines without any fact are dropped."""
+    """path, line_no, target (several names with commas between), words (right side), is_source, safe, sinks (array of types), tokens; lines without any fact are dropped."""
     lang = F.col("lang")
     mine = lines.withColumn("lang", kin(F.col("language"))).filter(F.col("lang").isin(sorted(SOURCES)))
-    rhs = F.regexp_extract("line", ASSIGN, 2)
-    each = [F.when((lang == name) & F.col("line").rlike(rx), F.lit(t)) for name, types in SINKS.items() for t, rx in types.items()]
+    inner = F.when(lang == "javascript", F.regexp_extract("line", DESTRUCT, 1)).otherwise("")
+    several = F.array_join(F.filter(F.transform(F.split(inner, ","), lambda t: F.regexp_extract(t, r"(\w+)\s*$", 1)), lambda t: t != ""), ",")
+    target = F.when(several != "", several).otherwise(F.regexp_extract("line", ASSIGN, 1))
+    rhs = F.when(several != "", F.regexp_extract("line", DESTRUCT, 2)).otherwise(F.regexp_extract("line", ASSIGN, 2))
+
+    def sink(name: str, kind: str, rx: str) -> Column:
+        hit = (lang == name) & F.col("line").rlike(rx)
+        if kind in INLINE.get(name, {}):
+            hit = hit & ~F.col("line").rlike(INLINE[name][kind])
+        if kind == "sqli" and name in BOUND:
+            bound = F.col("line").rlike(BOUND[name])
+            hit = hit & ~(bound & ~F.col("line").contains("+") if name == "java" else bound)
+        return F.when(hit, F.lit(kind))
+
+    each = [sink(name, t, rx) for name, types in SINKS.items() for t, rx in types.items()]
     facts = mine.select(
-        "path", "line_no", "lang", F.regexp_extract("line", ASSIGN, 1).alias("target"), tokens(rhs).alias("words"),
+        "path", "line_no", "lang", target.alias("target"), tokens(rhs).alias("words"),
         _of(lang, F.col("line"), {k: alternation(v) for k, v in SOURCES.items()}).alias("is_source"), _of(lang, F.col("line"), SANITIZERS).alias("safe"),
         F.array_compact(F.array(*each)).alias("sinks"), tokens(F.col("line")).alias("tokens"),
     )
@@ -85,25 +107,25 @@ def spread(facts: DataFrame, ordered: bool = True) -> DataFrame:
     must be tainted on an earlier line. Of several ways the earliest line counts, then the
     earliest source. Repeats until a round changes nothing.
     """
-    stored = materialise(facts.filter((F.col("target") != "") & ~F.col("safe")).select("path", "line_no", "target", "words", "is_source"), "assignments")
+    stored = materialise(facts.filter((F.col("target") != "") & ~F.col("safe")).select("path", "line_no", F.explode(F.split("target", ",")).alias("target"), "words", "is_source"), "assignments")
     uses = stored.filter(~F.col("is_source")).select("path", F.col("line_no").alias("m"), "target", F.explode("words").alias("var"))
 
     def earliest(df: DataFrame) -> DataFrame:
         return df.groupBy("path", "var").agg(F.min(F.struct("since", "origin")).alias("t")).select("path", "var", "t.since", "t.origin")
 
-    taint = materialise(earliest(stored.filter("is_source").select("path", F.col("target").alias("var"), F.col("line_no").alias("since"), F.col("line_no").alias("origin"))), "taint")
-    size = lambda df: df.agg(F.count(F.lit(1)), F.sum("since"), F.sum("origin")).first()
-    before = size(taint)
+    taint = new = materialise(earliest(stored.filter("is_source").select("path", F.col("target").alias("var"), F.col("line_no").alias("since"), F.col("line_no").alias("origin"))), "taint")
     while True:
-        hit = uses.join(taint, ["path", "var"])
+        # Only what the last round changed is followed; a name comes out again only if its line or source is earlier than known.
+        hit = uses.join(new, ["path", "var"])
         if ordered:
             hit = hit.filter(F.col("since") < F.col("m"))
-        new = hit.select("path", F.col("target").alias("var"), F.col("m").alias("since"), "origin")
-        taint = materialise(earliest(taint.unionByName(new)), "taint")
-        now = size(taint)
-        if now == before:
+        found = earliest(hit.select("path", F.col("target").alias("var"), F.col("m").alias("since"), "origin"))
+        old = taint.select("path", "var", F.struct("since", "origin").alias("known"))
+        better = F.col("known").isNull() | (F.struct("since", "origin") < F.col("known"))
+        new = materialise(found.join(old, ["path", "var"], "left").filter(better).select("path", "var", "since", "origin"), "taint-new")
+        if new.isEmpty():
             return taint
-        before = now
+        taint = materialise(earliest(taint.unionByName(new)), "taint")
 
 
 def variable_paths(facts: DataFrame, ordered: bool = True) -> DataFrame:
