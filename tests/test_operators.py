@@ -132,3 +132,31 @@ def test_data_flow_of_several_names_and_safe_sinks(spark):
     facts = T.line_facts(spark.createDataFrame(rows, "path string, language string, line_no int, line string"))
     got = {(r.path, r.sink_line, r.sink_type, r.var) for r in T.variable_paths(facts).collect()}
     assert got == {("a.ts", 2, "sqli", "n"), ("a.ts", 4, "xss", "id"), ("a.ts", 5, "proto_pollution", "n"), ("b.go", 3, "sqli", "q")}
+
+
+def test_lints_imports_and_project_framework(spark):
+    from tidescan.operators import lints, routes
+
+    lines = [("a.java", "java", 1, "@CrossOrigin"), ("a.java", "java", 2, '@CrossOrigin(origins = "x")'), ("a.java", "java", 3, '@RequestMapping("/a")'), ("a.java", "java", 4, None), ("b.py", "python", 1, "@CrossOrigin")]
+    got = lints.annotation_lints(spark.createDataFrame(lines, "path string, language string, line_no int, line string"))
+    assert {(r.line_no, r.annotation) for r in got.collect()} == {(1, "CrossOrigin"), (3, "RequestMapping")}
+    files = [("a.go", "go", 'package a\nimport "os"\nimport (\n\tx "os/exec"\n\t"fmt"\n)\nvar s = "no"\n'), ("b.go", "go", None), ("c.go", "go", ""), ("d.py", "python", "from flask import Flask\napp = Flask(__name__)")]
+    df = spark.createDataFrame(files, "path string, language string, content string")
+    assert {(r.package, r.note) for r in lints.go_imports(df).collect()} == {("os", None), ("os/exec", "runs commands"), ("fmt", None)}
+    assert routes.project_framework(df) == "flask" and routes.project_framework(df.filter("language = 'go'")) is None
+
+
+def test_store_takes_runs_findings_and_json(spark, tmp_path):
+    from tidescan.operators import store
+
+    store.add_run(str(tmp_path / "runs"), spark.createDataFrame([(None, "p", "2025-01-01", None), ("r2", "p", None, "complete")], "id string, path string, ts string, status string"))
+    assert {r.status for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {"running", "complete"}
+    rows = spark.createDataFrame([(None, "r2", "a.py", 1, "sqli", None, None, None, 7.5)], "id string, run_id string, file_path string, line_start int, vuln_type string, severity string, confidence string, status string, cvss_score double")
+    store.add_findings(str(tmp_path / "findings"), rows)
+    (one,) = spark.read.parquet(str(tmp_path / "findings")).collect()
+    assert (one.severity, one.confidence, one.status, one.cvss_score, len(one.id)) == ("medium", "possible", "candidate", 7.5, 12)
+    (tmp_path / "list.json").write_text('[{"id": "a", "x": 1}, {"id": null}]')
+    (tmp_path / "one.json").write_text('{\n "id": "b"\n}')
+    assert sorted(str(r.id) for f in ("list", "one") for r in store.read_findings_json(spark, str(tmp_path / f"{f}.json"), "id string, y int").collect()) == ["None", "a", "b"]
+    store.write_json(rows.select("id", "vuln_type"), str(tmp_path / "out"), pretty=True)
+    assert '"vuln_type" : "sqli"' in "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))

@@ -62,6 +62,22 @@ def nearest_routes(findings: DataFrame, routes: DataFrame) -> DataFrame:
     return both.filter(F.col("kind") == 1).select(*[F.col(f"_{c}").alias(c) for c in findings.columns], F.col("near.path").alias("route_path"), F.col("near.method").alias("route_method"), F.col("near.route_line").alias("route_line"))
 
 
+def summary(routes: DataFrame) -> DataFrame:
+    """Rows of a Markdown table of the routes (method, path, framework, places), ordered by path and method."""
+    counts = routes.groupBy("path", "method", "framework").agg(F.count(F.lit(1)).alias("n")).orderBy("path", "method", "framework")
+    return counts.select(F.format_string("| %s | %s | %s | %s |", "method", "path", "framework", F.col("n").cast("string")).alias("row"))
+
+
+def project_framework(files: DataFrame, order: tuple[str, ...] = tuple(LANGUAGES)) -> str | None:
+    """The first framework, in a fixed order, that any file of the project shows; its rules then serve for all files. One row is collected."""
+    from tidescan.functions.languages import detect_frameworks
+
+    each = files.select(F.explode(detect_frameworks(F.col("content"), F.col("language"))).alias("framework"))
+    rank = F.array_position(F.array(*[F.lit(f) for f in order]), F.col("framework"))
+    first = each.filter(rank > 0).agg(F.min(F.struct(rank.alias("k"), "framework")).alias("f")).first()[0]
+    return first["framework"] if first else None
+
+
 def framework_histogram(files: DataFrame) -> DataFrame:
     """Files per framework, over all files."""
     from tidescan.functions.languages import detect_frameworks

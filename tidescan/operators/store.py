@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import severity_rank
@@ -41,6 +41,31 @@ def upsert(stored: DataFrame, updates: DataFrame, columns: list[str]) -> DataFra
     return out.select(*stored.columns)
 
 
+def read_findings_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Findings from JSON files that hold a list or a single object; fields not in ``schema`` are dropped, missing ones null."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_json(df: DataFrame, path: str, pretty: bool = False) -> None:
+    """One JSON object a line, or one a block of lines if ``pretty``. Null fields are kept."""
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", **({"pretty": "true"} if pretty else {})})
+    df.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def add_run(runs: str, row: DataFrame) -> None:
+    """Append runs to the table of runs; a missing status is ``running``, a missing id a hash of path and time."""
+    run_id = F.substring(F.sha2(F.concat_ws("|", "path", F.col("ts").cast("string")), 256), 1, 8)
+    row.withColumn("id", F.coalesce("id", run_id)).withColumn("status", F.coalesce("status", F.lit("running"))).write.mode("append").parquet(runs)
+
+
+def add_findings(findings: str, rows: DataFrame) -> None:
+    """Append findings with all their columns; missing ids, severities, confidences and statuses get their defaults."""
+    out = rows.withColumn("id", F.coalesce("id", finding_id(*KEY)))
+    for name, value in (("severity", "medium"), ("confidence", "possible"), ("status", "candidate")):
+        out = out.withColumn(name, F.coalesce(name, F.lit(value)))
+    out.write.mode("append").partitionBy("run_id").parquet(findings)
+
+
 def write_runs(findings: DataFrame, path: str) -> None:
     """Rewrite just the run partitions that ``findings`` holds."""
     findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

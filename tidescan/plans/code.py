@@ -9,7 +9,7 @@ from tidescan.functions import languages as L
 from tidescan.functions.entropy import PLACEHOLDER, THRESHOLD
 from tidescan.functions.normalize import SQL_CLEAN_PATH, clean_path
 from tidescan.functions.text import explode_lines
-from tidescan.operators import redos, routes, secrets, sweep
+from tidescan.operators import lints, redos, routes, secrets, sweep
 from tidescan.plans import sql
 from tidescan.session import materialise
 from tidescan.sources.detectors import DETECTORS
@@ -99,11 +99,23 @@ def nearest_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.filter(F.col("route_path").isNotNull())
 
 
+def annotation_lints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lints.annotation_lints(file_lines(spark, sf_dir))
+
+
+def go_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lints.go_imports(delivered_files(spark, sf_dir)).groupBy("package", "note").agg(F.count(F.lit(1)).alias("files"))
+
+
+def route_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes.summary(routes.extract_routes(file_lines(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         line_inventory, path_classes, language_histogram, framework_files, rule_hits, rule_counts, excerpt_rule_counts, candidate_findings,
-        named_secret_hits, entropy_literals, regex_complexity, regex_findings, route_table, nearest_route,
+        named_secret_hits, entropy_literals, regex_complexity, regex_findings, route_table, nearest_route, annotation_lints, go_imports, route_summary,
     )
 }
 
@@ -201,6 +213,11 @@ ORACLES = {
         SELECT file_path, {_mask('token')} AS evidence, round(h, 4) AS entropy, count(*) AS n FROM e WHERE h >= {THRESHOLD} GROUP BY ALL""",
     "regex_complexity": f"""WITH {_EXCERPTS}, lits AS (SELECT DISTINCT unnest(regexp_extract_all(line, '"([^"\\\\]{{4,}})"', 1)) AS pattern FROM excerpts), {_ANALYSED}
         SELECT complexity, anchored, severity, count(*) AS patterns, sum(quantifiers)::BIGINT AS quantifiers FROM t GROUP BY ALL""",
+    "annotation_lints": f"WITH {sql.FILE_LINES}, {sql.values(lints.ANNOTATIONS, ['annotation', 'argument', 'note'], 'ann')} SELECT path, line_no, annotation, note, 'medium' AS severity FROM lines JOIN ann ON regexp_matches(line, '@' || annotation || '\\b') AND NOT regexp_matches(line, argument || '\\s*=') WHERE language IN ('java', 'kotlin')",
+    "go_imports": f"""WITH {sql.FILES}, {sql.values(list(lints.WATCHED_IMPORTS.items()), ['package', 'note'], 'watched')}, g AS (SELECT path, content, array_to_string(regexp_extract_all(content, '(?m)^import\\s*\\(([^)]*)\\)', 1), chr(10)) AS block FROM files WHERE language = 'go'),
+        i AS (SELECT DISTINCT path, unnest(list_concat(regexp_extract_all(content, '(?m)^import\\s+(?:[\\w.]+\\s+)?"([^"\\n]+)"', 1), regexp_extract_all(block, '(?m)^\\s*(?:[\\w.]+\\s+)?"([^"\\n]+)"', 1))) AS package FROM g)
+        SELECT package, note, count(*) AS files FROM i LEFT JOIN watched USING (package) GROUP BY ALL""",
+    "route_summary": f"WITH {_ROUTE_CTE} SELECT '| ' || method || ' | ' || path || ' | ' || framework || ' | ' || count(*) || ' |' AS row FROM found GROUP BY method, path, framework",
     "route_table": f"WITH {_ROUTE_CTE} SELECT * FROM found",
     "nearest_route": f"""WITH {_ROUTE_CTE}, f AS (SELECT DISTINCT {_FP} AS file_path, line_start FROM findings WHERE line_start IS NOT NULL),
         ranked AS (SELECT f.file_path, f.line_start, r.path AS route_path, r.method AS route_method, r.line AS route_line,
