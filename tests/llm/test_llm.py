@@ -278,6 +278,22 @@ def test_repeats(spark):
     assert sorted(r.item_id for r in found.collect()) == [1, 5, 10]
 
 
+def test_a_later_batch_probes_the_stored_index(spark, tmp_path):
+    rng = random.Random(5)
+    line = lambda: f"{rng.choice(['run', 'load', 'send'])}({rng.choice('abcdef')}, {rng.randint(1, 4)});"
+    rows = [(k, rng.choice(["a.js", "b.js"]), "sqli", "\n".join(line() for _ in range(3))) for k in range(160)]
+    schema = "item_id bigint, file_path string, vuln_type string, code_snippet string"
+    history, first, second = rows[:40], rows[40:100], rows[100:]
+    frame = lambda part: spark.createDataFrame(part, schema)
+    state = str(tmp_path / "state")
+    H.append(state, frame(history).select("file_path", "vuln_type", "code_snippet", F.lit(-1).cast("bigint").alias("ord")))
+    got = [{r.item_id for r in H.judge(frame(part), state).collect()} for part in (first, second)]
+    lines = {k: H.token_lines(t) for k, *_, t in rows}
+    want = {k for k, f, _, _ in first + second if any(g == f and H.same_defect(lines[k], lines[j]) for j, g, _, _ in rows[:k])}
+    assert got[0] | got[1] == want and got[0] and got[1]
+    assert {r.item_id for r in H.repeats(frame(first + second), frame(history)).collect()} == want
+
+
 # ---- leakage --------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,8 @@ last line (a context line at the edge may differ). Forms are strings of tokens;
 is cut into ``EDITS + 1`` segments, of which at least one stands unchanged in any string
 within ``EDITS`` edits. The index stores segments by (file, type, length, number); a new
 item probes it with the few substrings that could match and each candidate is verified on
-the real tokens. Judged items are appended, so history is never processed again.
+the real tokens. The index is a folder of tables that outlives the call: history goes into it
+once, judged items are appended, and a later batch tokenises only its own texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidescan.functions.normalize import clean_path
-from tidescan.session import materialise
+from tidescan.session import materialise, scratch_path
 from tidescan.sources.tables import table
 
 #: Edits between forms that the index tolerates, and edits between real tokens beyond one name and one number.
@@ -199,46 +200,61 @@ def verify(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "probe string, first bigint")
 
 
-def build_index(groups: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """The stored segment index; with ``index``, the new groups are appended to it."""
-    added = materialise(segments(groups), "segment-index")
-    return added if index is None else index.unionByName(added)
+GROUPS = "grp string, place string, text string, first bigint, last bigint"
+SEGMENTS = "code bigint, grp string, first bigint"
 
 
-def repeats(items: DataFrame, history: DataFrame) -> DataFrame:
-    """item_id of each item whose defect is in ``history`` or in an item with a smaller item_id.
+def append(state: str, rows: DataFrame) -> DataFrame:
+    """Add rows (file_path, vuln_type, code_snippet, ord) to the stored index: their groups and the segments of each. Returns the groups added."""
+    groups = materialise(code_groups(rows), "code-groups")
+    groups.write.mode("append").parquet(f"{state}/groups")
+    segments(groups).write.mode("append").parquet(f"{state}/segments")
+    return groups
 
-    ``items``: item_id, file_path, vuln_type, code_snippet; ``history``: the last three,
-    all with canonical paths. An item without file, type or code is never a repeat.
+
+def judge(items: DataFrame, state: str) -> DataFrame:
+    """item_id of each item whose defect is in the stored index or in an item with a smaller item_id; the items are appended.
+
+    Only the items are tokenised; of the history the stored segments are probed, and the texts of candidates read. An item
+    without file, type or code is never a repeat. Item ids grow from batch to batch.
     """
-    columns = ["file_path", "vuln_type", "code_snippet"]
-    rows = history.select(*columns, F.lit(-1).cast("bigint").alias("ord")).unionByName(items.select(*columns, F.col("item_id").alias("ord")))
-    # History in places that no item names can't match; leaving it out of this run's index loses nothing.
-    places = items.select("file_path", "vuln_type").distinct()
-    groups = materialise(code_groups(rows.join(places, ["file_path", "vuln_type"], "left_semi")), "code-groups")
-    index = build_index(groups)
-    # A text that history holds is known as it is; every other new text probes the index.
-    unknown = groups.filter((F.col("last") >= 0) & (F.col("first") >= 0))
+    spark = items.sparkSession
+    fresh = append(state, items.select("file_path", "vuln_type", "code_snippet", F.col("item_id").alias("ord")))
+    groups = spark.read.schema(GROUPS).parquet(f"{state}/groups")
+    index = spark.read.schema(SEGMENTS).parquet(f"{state}/segments")
+    since = groups.select("grp", F.col("first").alias("seen")).join(fresh.select("grp"), "grp", "left_semi").groupBy("grp").agg(F.min("seen").alias("seen"))
+    fresh = materialise(fresh.join(since, "grp"), "fresh-groups")
+    # A text that is in the index already is known as it is; every other new text probes it.
     hits = (
-        probes(unknown).join(index, "code")
+        probes(fresh.filter(F.col("seen") == F.col("first"))).join(index, "code")
         .filter((F.col("probe") != F.col("grp")) & (F.col("first") < F.col("last")))
         .select("probe", "grp", "first").distinct()
     )
-    texts = groups.select("grp", "text")
+    texts = groups.select("grp", "first", F.col("text").alias("other"))
     pairs = (
-        hits.join(texts.withColumnRenamed("text", "other"), "grp")
-        .join(texts.withColumnRenamed("grp", "probe"), "probe")
+        hits.join(texts, ["grp", "first"])
+        .join(fresh.select(F.col("grp").alias("probe"), "text"), "probe")
         .select("probe", "first", "text", "other")
     )
     earliest = verify(pairs).groupBy("probe").agg(F.min("first").alias("similar"))
-    known = groups.filter(F.col("last") >= 0).select("grp", "first").join(earliest.withColumnRenamed("probe", "grp"), "grp", "left")
-    known = known.select("grp", F.least("first", "similar").alias("since"))
+    known = fresh.select("grp", "seen").join(earliest.withColumnRenamed("probe", "grp"), "grp", "left").select("grp", F.least("seen", "similar").alias("since"))
     keyed = items.filter(F.col("file_path").isNotNull() & F.col("vuln_type").isNotNull() & F.col("code_snippet").isNotNull()).select(
         "item_id", F.md5(F.concat_ws("\n\n", F.concat_ws("\n", "file_path", "vuln_type"), plain_text(F.col("code_snippet")))).alias("grp")
     )
     return keyed.join(known, "grp").filter(F.col("since") < F.col("item_id")).select("item_id")
 
 
+def repeats(items: DataFrame, history: DataFrame, state: str | None = None) -> DataFrame:
+    """``judge`` of the items against an index made of the whole ``history`` in ``state`` (a new folder by default).
+
+    ``items``: item_id, file_path, vuln_type, code_snippet; ``history``: the last three,
+    all with canonical paths.
+    """
+    state = state or scratch_path(items.sparkSession, "segment-index")
+    append(state, history.select("file_path", "vuln_type", "code_snippet", F.lit(-1).cast("bigint").alias("ord")))
+    return judge(items, state)
+
+
 def repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = clean_path("file_path").alias("file_path")
     items = table(spark, sf_dir, "finding_batches").select("item_id", path, "vuln_type", "code_snippet").distinct()
